@@ -7,22 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracery.llm.exact_dedup import exact_dedup
+from tracery.llm.ogg_media import describe_media, to_media
+from tracery.llm.zip_warc import archive_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe_media(to_media(_documents(spark, sf_dir)))
+
+
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_exact_dedup,)}
+    return {f.__name__: f for f in (op2_ogg_media, op8_zip_warc, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_zip_warc": """
+WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     k AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first_id FROM t)
+SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to FROM k
+""",
         "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracery.llm.exact_dedup import exact_dedup
+from tracery.llm.minhash_dedup import near_duplicates
 from tracery.llm.ogg_media import describe_media, to_media
 from tracery.llm.zip_warc import archive_round_trip
 
@@ -19,6 +20,10 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(to_media(_documents(spark, sf_dir)))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir), words=4)
+
+
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -28,7 +33,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op8_zip_warc, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_ogg_media, op6_minhash_dedup, op8_zip_warc, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tracery.llm.bpe_codec import encoding_digests
 from tracery.llm.exact_dedup import exact_dedup
 from tracery.llm.minhash_dedup import near_duplicates
 from tracery.llm.ogg_media import describe_media, to_media
@@ -24,6 +26,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=4)
 
 
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -33,7 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op6_minhash_dedup, op8_zip_warc, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_ogg_media, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

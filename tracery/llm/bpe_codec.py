@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
 
@@ -43,7 +44,10 @@ LATER = (
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 #: Words kept with their encodings, in each Python worker.
-CACHED = 200_000
+CACHED = 400_000
+#: Verdicts on token pairs kept, and the longest word merged beside others rather than alone.
+PAIRS = 1_000_000
+WIDE = 48
 NEVER = np.iinfo(np.int32).max
 
 
@@ -67,6 +71,7 @@ def _own_spaces(pattern: str) -> regex.Pattern:
 
 
 _later = regex.compile("[" + "".join("-".join(chr(int(c, 16)) for c in x.split("-")) for x in LATER.split()) + "]")
+_high = re.compile("[^\0-\u0557]")  # a cheap test before the one above
 _capitals = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
 
 
@@ -113,11 +118,16 @@ class Codec:
         else:
             self.piece = [f"{t} ".encode() for t in self.token]
         self.id_bytes = [int(i).to_bytes(4, "little") for i in range(size)]
-        self.longest = max(len(self._marked(t)) for t in self.vocab)
-        self.marked = {self._marked(t): i for t, i in self.vocab.items()}
+        self.trie: dict = {}
+        for t, i in self.vocab.items():
+            node = self.trie
+            for c in self._marked(t):
+                node = node.setdefault(c, {})
+            node[""] = i
         self.sound: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, tuple[bytes, bytes]] = {}
+        self.word_ids: dict[str | int, bytes] = {}
+        self.word_text: dict[str | int, bytes] = {}
         self.exactly_merged = self.proposed = 0
 
     # --- the file's parts
@@ -130,7 +140,7 @@ class Codec:
                 found.append(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
             elif part["type"] == "Replace":
                 pattern = _own_spaces(part["pattern"]["Regex"])
-                found.append(lambda t, p=pattern, c=part["content"]: p.sub(lambda _: c, t))
+                found.append(lambda t, p=pattern, c=part["content"].replace("\\", r"\\"): p.sub(c, t))
             elif part["type"] == "Lowercase":
                 found.append(_lower)
             else:
@@ -151,7 +161,6 @@ class Codec:
     def _merges(self, merges: list) -> None:
         """Ranks by pair, and for each token the merge that makes it."""
         n = max(self.vocab.values()) + 1
-        self.base = n
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         self.made = np.full(n, -1, np.int32)  # rank of the merge that makes the token; -1 for characters
         self.left, self.right = np.arange(n, dtype=np.int64), np.arange(n, dtype=np.int64)
@@ -161,9 +170,34 @@ class Codec:
             self.rank[x, y] = (k, z)
             if self.made[z] < 0:
                 self.made[z], self.left[z], self.right[z] = k, x, y
-        keys = np.array([x * n + y for x, y in self.rank], dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([k for k, _ in self.rank.values()], dtype=np.int32)[order]
+        keys = np.array([x << 32 | y for x, y in self.rank], dtype=np.int64)
+        ranks = np.array([k for k, _ in self.rank.values()], dtype=np.int64)
+        self.result = np.array([z for _, z in self.rank.values()], dtype=np.int64)[np.argsort(ranks)]
+        bits = max(12, int(np.ceil(np.log2(len(keys) * 16 + 1))))
+        self.shift = np.uint64(64 - bits)
+        self.slot_key = np.full((1 << bits) + 64, -1, np.int64)
+        self.slot_rank = np.full((1 << bits) + 64, NEVER, np.int64)
+        self.probes = 0
+        while len(keys):  # each round places one key of every free slot
+            at = self._slot(keys) + self.probes
+            free = np.flatnonzero(self.slot_key[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.slot_key[at[put]], self.slot_rank[at[put]] = keys[put], ranks[put]
+            keys, ranks = np.delete(keys, put), np.delete(ranks, put)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, NEVER where there is none: a table with a few open places for each key."""
+        keys = a << 32 | b
+        at = self._slot(keys)
+        found = np.where(self.slot_key[at] == keys, self.slot_rank[at], NEVER)
+        for k in range(1, self.probes):
+            found = np.where(self.slot_key[at + k] == keys, self.slot_rank[at + k], found)
+        return found
 
     def _marked(self, token: str) -> str:
         """The token with its word end, if it has one, as a single character."""
@@ -196,34 +230,83 @@ class Codec:
                     heapq.heappush(heap, (rank, left, new, p))
         return [i for i in ids if i >= 0]
 
+    def merge_all(self, words: list[list[int]]) -> list[list[int]]:
+        """``merge`` of many words side by side: each round makes the first merge of least rank in every word."""
+        out: list[list[int]] = [[]] * len(words)
+        short = []
+        for k, ids in enumerate(words):
+            if len(ids) > WIDE:
+                out[k] = self.merge(ids)
+            else:
+                short.append(k)
+        short.sort(key=lambda k: len(words[k]))
+        for at in range(0, len(short), 4096):
+            own = short[at : at + 4096]
+            width = len(words[own[-1]])
+            ids = np.full((len(own), width + 1), -1, np.int64)
+            for row, k in enumerate(own):
+                ids[row, : len(words[k])] = words[k]
+            ranks = np.full((len(own), width + 1), NEVER, np.int64)
+            there = ids[:, 1:] >= 0
+            ranks[:, :-1][there] = self.pair_ranks(ids[:, :-1][there], ids[:, 1:][there])
+            columns, live = np.arange(width + 1), np.arange(len(own))
+            done = np.empty_like(ids)
+            while len(live):
+                place = ranks.argmin(axis=1)
+                rows = np.arange(len(live))
+                least = ranks[rows, place]
+                ended = least == NEVER
+                if ended.any():
+                    done[live[ended]] = ids[ended]
+                    live, ids, ranks, place, least = (v[~ended] for v in (live, ids, ranks, place, least))
+                    rows = np.arange(len(live))
+                    if not len(live):
+                        break
+                source = np.minimum(columns + (columns > place[:, None]), width)
+                ids, ranks = np.take_along_axis(ids, source, 1), np.take_along_axis(ranks, source, 1)
+                ids[rows, place] = self.result[least]
+                for c in (place - 1, place):
+                    ok = (c >= 0) & (c < width)
+                    r, c = rows[ok], c[ok]
+                    a, b = ids[r, c], ids[r, c + 1]
+                    ranks[r, c] = np.where(b >= 0, self.pair_ranks(a, b), NEVER)
+            for row, k in enumerate(own):
+                out[k] = done[row][done[row] >= 0].tolist()
+        return out
+
     # --- speculation
 
     def propose(self, word: str) -> list[int] | None:
-        """Greedy longest match; None where it runs into a dead end."""
-        text = word + "" if self.suffix else word
-        last = len(text) - bool(self.suffix)  # no token but the last may take the last character
-        out, at, vocab = [], 0, self.marked
-        while at < len(text):
-            for end in range(min(len(text), at + self.longest), at, -1):
-                found = vocab.get(text[at:end])
-                if found is not None and (end == len(text) or end < last or not self.suffix):
-                    out.append(found)
-                    at = end
+        """Greedy longest match along a trie; None where it runs into a dead end."""
+        text = word + "\ue000" if self.suffix else word
+        size = len(text)
+        last = size - 1 if self.suffix else -1  # the word end can't stand alone
+        out, at, root = [], 0, self.trie
+        while at < size:
+            node, found, k = root, None, at
+            while k < size:
+                node = node.get(text[k])
+                if node is None:
                     break
-            else:
+                k += 1
+                own = node.get("")
+                if own is not None and k != last:
+                    found, end = own, k
+            if found is None:
                 return None
+            out.append(found)
+            at = end
         return out
 
-    def _is_sound(self, token: int) -> bool:
-        """Whether merging the token's own characters gives the token."""
-        found = self.sound.get(token)
-        if found is None:
-            text = self.token[token]
-            ends = bool(self.suffix) and text.endswith(self.suffix)
+    def _check_sound(self, tokens: set[int]) -> None:
+        """Which tokens merging their own characters gives."""
+        own = []
+        for t in tokens:
+            text = self.token[t]
+            ends = bool(self.suffix) and text.endswith(self.suffix) and text != self.suffix
             plain = text[: -len(self.suffix)] if ends else text
-            ids = self.symbols(plain) if ends or not self.suffix else [self.vocab[c] for c in plain]
-            found = self.sound[token] = self.merge(ids) == [token]
-        return found
+            own.append(self.symbols(plain) if ends or not self.suffix else [self.vocab[c] for c in plain])
+        self.sound.update((t, m == [t]) for t, m in zip(tokens, self.merge_all(own), strict=True))
 
     def compatible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """For each pair of sound tokens, whether no merge crosses the boundary between them.
@@ -238,9 +321,7 @@ class Codec:
         live = np.arange(len(a))
         while len(live):
             p, q = a[live], b[live]
-            key = p * self.base + q
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            crosses = (self.keys[at] == key) & (self.ranks[at] < until[live])
+            crosses = self.pair_ranks(p, q) < until[live]
             good[live[crosses]] = False
             made_p, made_q = self.made[p].astype(np.int64), self.made[q].astype(np.int64)
             live, p, q, made_p, made_q = (v[~crosses & ((made_p >= 0) | (made_q >= 0))] for v in (live, p, q, made_p, made_q))
@@ -253,19 +334,33 @@ class Codec:
 
     def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The encodings of new words, in stand-in characters."""
-        proposals = {w: self.propose(w) for w in words}
-        self.proposed += len(proposals)
-        pairs = {x << 32 | y for p in proposals.values() if p for x, y in zip(p, p[1:])}
-        fresh = [k for k in pairs if k not in self.pairs]
-        if fresh:
-            keys = np.array(fresh, dtype=np.int64)
-            self.pairs.update(zip(fresh, self.compatible(keys >> 32, keys & 0xFFFFFFFF).tolist(), strict=True))
-        known = self.pairs
-        for w, p in proposals.items():
-            if p is None or not all(map(self._is_sound, p)) or not all(known[x << 32 | y] for x, y in zip(p, p[1:])):
-                self.exactly_merged += 1
-                proposals[w] = self.merge(self.symbols(w))
-        return proposals
+        words = list(words)
+        proposals = [self.propose(w) for w in words]
+        self.proposed += len(words)
+        used = {t for p in proposals if p for t in p}
+        self._check_sound(used.difference(self.sound))
+        known, sound = self.pairs, self.sound
+        if len(known) > PAIRS:
+            known.clear()
+        fresh = list({x << 32 | y for p in proposals if p for x, y in zip(p, p[1:])}.difference(known))
+        keys = np.array(fresh, dtype=np.int64)
+        known.update(zip(fresh, self.compatible(keys >> 32, keys & 0xFFFFFFFF).tolist(), strict=True))
+        bad_tokens = {t for t in used if not sound[t]}
+        failing = []
+        for k, p in enumerate(proposals):
+            if p is None or bad_tokens and not bad_tokens.isdisjoint(p):
+                failing.append(k)
+                continue
+            x = p[0]
+            for y in p[1:]:
+                if not known[x << 32 | y]:
+                    failing.append(k)
+                    break
+                x = y
+        self.exactly_merged += len(failing)
+        for k, ids in zip(failing, self.merge_all([self.symbols(words[k]) for k in failing]), strict=True):
+            proposals[k] = ids
+        return dict(zip(words, proposals, strict=True))
 
     # --- texts
 
@@ -281,39 +376,40 @@ class Codec:
                 continue
             for step in self.normalizers:
                 part = step(part)
-            if part.isascii() or not _later.search(part):
+            if part.isascii() or not _high.search(part) or not _later.search(part):
                 out += self.pattern.findall(part)
             else:  # matched as what is neither letter nor number
                 out += [part[m.start() : m.end()] for m in self.pattern.finditer(_later.sub("\uffff", part))]
         return out
 
+    def _learn_words(self, new: set[str | int]) -> None:
+        """Put new words, as they stand in texts, into the tables of known words."""
+        stand_in, ids, piece = self.stand_in, self.id_bytes, self.piece
+        table = {w: [w] if isinstance(w, int) else "".join([stand_in[b] for b in w.encode()]) for w in new}
+        learnt = self.learn({t for t in table.values() if isinstance(t, str)})
+        for w, t in table.items():
+            own = learnt[t] if isinstance(t, str) else t
+            self.word_ids[w] = b"".join([ids[i] for i in own])
+            self.word_text[w] = b"".join([piece[i] for i in own])
+
     def encode_batch(self, data: list[str], decoded: bool = True) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
+        """(ids as little-endian 32-bit integers, decoded text if asked for) of each text."""
+        if len(self.word_ids) > CACHED:
+            self.word_ids.clear()
+            self.word_text.clear()
         split = [self.split(t) for t in data]
-        known = self.words
-        if len(known) > CACHED:
-            known.clear()
-        new = {w for words in split for w in words if w not in known}
-        special = [w for w in new if isinstance(w, int)]
-        for w in special:
-            known[w] = (self.id_bytes[w], self.piece[w])
-        new.difference_update(special)
+        new: set[str | int] = set()
+        for words in split:
+            new.update(set(words).difference(self.word_ids))
         if new:
-            stand_in = self.stand_in
-            table = {w: "".join([stand_in[b] for b in w.encode()]) for w in new}
-            learnt = self.learn(set(table.values()))
-            ids, piece = self.id_bytes, self.piece
-            for w, t in table.items():
-                own = learnt[t]
-                known[w] = (b"".join([ids[i] for i in own]), b"".join([piece[i] for i in own]) if decoded else b"")
+            self._learn_words(new)
+        ids, text = self.word_ids.__getitem__, self.word_text.__getitem__
         out = []
         for words in split:
-            found = [known[w] for w in words]
-            text = b""
-            if decoded:
-                text = b"".join([f[1] for f in found])
-                text = text.decode("utf-8", "replace").encode() if self.byte_level_decoder else text[:-1]
-            out.append((b"".join([f[0] for f in found]), text))
+            whole = b"".join(map(text, words)) if decoded else b""
+            if self.byte_level_decoder:
+                whole = whole.decode("utf-8", "replace").encode()
+            out.append((b"".join(map(ids, words)), whole if self.byte_level_decoder else whole[:-1]))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -51,27 +51,64 @@ WIDE = 48
 NEVER = np.iinfo(np.int32).max
 
 
-def _own_spaces(pattern: str) -> regex.Pattern:
-    """The pattern with ``\\s`` and ``\\S`` as the vocabulary's own library understands them."""
+def _spelt_out(pattern: str, letters: str, numbers: str) -> str:
+    """The pattern with ``\\s``, ``\\p{L}`` and ``\\p{N}`` as the vocabulary's own library understands them."""
     out, inside, k = [], False, 0
     while k < len(pattern):
-        two = pattern[k : k + 2]
-        if two == r"\s":
-            out.append(SPACE if inside else f"[{SPACE}]")
-        elif two == r"\S":
-            out.append(f"[^{SPACE}]")
-        elif two[0] == "\\":
-            out.append(two)
+        if pattern[k] == "\\":
+            known = {r"\s": SPACE, r"\p{L}": letters, r"\p{N}": numbers}
+            name = next((x for x in known if pattern.startswith(x, k)), None)
+            if name:
+                out.append(known[name] if inside else f"[{known[name]}]")
+                k += len(name)
+            elif pattern.startswith(r"\S", k) and not inside:
+                out.append(f"[^{SPACE}]")
+                k += 2
+            else:
+                out.append(pattern[k : k + 2])
+                k += 2
         else:
-            inside = two[0] == "[" or inside and two[0] != "]"
-            out.append(two[0])
-            k -= 1
-        k += 2
-    return regex.compile("".join(out))
+            inside = pattern[k] == "[" or inside and pattern[k] != "]"
+            out.append(pattern[k])
+            k += 1
+    return "".join(out)
+
+
+_later_set = frozenset(chr(c) for x in LATER.split() for ends in [[int(y, 16) for y in x.split("-")]] for c in range(ends[0], ends[-1] + 1))
+_later = regex.compile("[" + "".join(sorted(_later_set)) + "]")
+_beyond = re.compile("[^\0-\uffff]+")
+
+
+def _ranges(kind: str) -> str:
+    """The characters of a Unicode category up to U+FFFF, as the inside of a character class."""
+    points = [ord(c) for c in regex.findall(rf"\p{{{kind}}}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))) if c not in _later_set]
+    out, start = [], None
+    for c, following in zip(points, [*points[1:], None], strict=True):
+        start = c if start is None else start
+        if following != c + 1:
+            out.append(re.escape(chr(start)) + ("-" + re.escape(chr(c)) if c > start else ""))
+            start = None
+    return "".join(out)
+
+
+class Splitter:
+    """Finds words. The standard library's engine, given the categories as plain ranges, is twice as fast."""
+
+    def __init__(self, pattern: str):
+        self.near = re.compile(_spelt_out(pattern, _ranges("L"), _ranges("N")))
+        self.any = regex.compile(_spelt_out(pattern, r"\p{L}", r"\p{N}"))
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.near.findall(text)
+        high = _beyond.findall(text)
+        if not high:
+            return self.near.findall(text)
+        if _later_set.isdisjoint("".join(high)):
+            return self.any.findall(text)
+        return [text[m.start() : m.end()] for m in self.any.finditer(_later.sub("\uffff", text))]  # neither letter nor number
 
 
-_later = regex.compile("[" + "".join("-".join(chr(int(c, 16)) for c in x.split("-")) for x in LATER.split()) + "]")
-_high = re.compile("[^\0-\u0557]")  # a cheap test before the one above
 _capitals = regex.compile("[" + "".join(map(chr, LOWER)) + "]")
 
 
@@ -139,7 +176,11 @@ class Codec:
             if part["type"] == "NFC":
                 found.append(lambda t: t if t.isascii() else unicodedata.normalize("NFC", t))
             elif part["type"] == "Replace":
-                pattern = _own_spaces(part["pattern"]["Regex"])
+                if (part["pattern"]["Regex"], part["content"]) == (r"\s+", " "):  # single spaces are what they become
+                    runs = re.compile(f"[{SPACE.replace(' ', '')}][{SPACE}]*| [{SPACE}]+")
+                    found.append(lambda t, p=runs: p.sub(" ", t))
+                    continue
+                pattern = regex.compile(_spelt_out(part["pattern"]["Regex"], r"\p{L}", r"\p{N}"))
                 found.append(lambda t, p=pattern, c=part["content"].replace("\\", r"\\"): p.sub(c, t))
             elif part["type"] == "Lowercase":
                 found.append(_lower)
@@ -148,14 +189,14 @@ class Codec:
         return found
 
     @staticmethod
-    def _pattern(spec: dict) -> regex.Pattern:
+    def _pattern(spec: dict) -> Splitter:
         for part in spec.get("pretokenizers", [spec]):
             if part["type"] == "Split":
                 if part["behavior"] != "Removed" or not part["invert"]:
                     raise ValueError("only splits that keep the matches are known")
-                return _own_spaces(part["pattern"]["Regex"])
+                return Splitter(part["pattern"]["Regex"])
             if part["type"] == "ByteLevel" and part["use_regex"] and not part["add_prefix_space"]:
-                return _own_spaces(BYTE_LEVEL)
+                return Splitter(BYTE_LEVEL)
         raise ValueError("the pre-tokenizer is not known")
 
     def _merges(self, merges: list) -> None:
@@ -376,10 +417,7 @@ class Codec:
                 continue
             for step in self.normalizers:
                 part = step(part)
-            if part.isascii() or not _high.search(part) or not _later.search(part):
-                out += self.pattern.findall(part)
-            else:  # matched as what is neither letter nor number
-                out += [part[m.start() : m.end()] for m in self.pattern.finditer(_later.sub("\uffff", part))]
+            out += self.pattern(part)
         return out
 
     def _learn_words(self, new: set[str | int]) -> None:

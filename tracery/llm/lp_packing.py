@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracery.llm.bpe_codec import Codec
+from tracery.llm.bpe_codec import CACHED, Codec
 from tracery.llm.common import bounded_batches, texts, utf8, written
 
 CAPACITY = 1024
@@ -183,12 +183,25 @@ class PieceCodec(Codec):
         super().__init__(path)
         ranks = {self.piece[i]: i for i in self.vocab.values()}
         self.native = tiktoken.Encoding("pieces", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.known = _Learning(self)
 
-    def _learn_words(self, new: set[str | int]) -> None:
-        merge, ids = self.native.encode_single_piece, self.id_bytes
-        for w in new:
-            own = [w] if isinstance(w, int) else merge(w.encode())
-            self.word_ids[w] = b"".join([ids[i] for i in own])
+    def ids(self, text: str) -> bytes:
+        """The ids of a text as little-endian 32-bit integers."""
+        if len(self.known) > CACHED:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
+
+class _Learning(dict):
+    """Word -> ids; a word not met before is merged when it is asked for."""
+
+    def __init__(self, own: PieceCodec):
+        self.own = own
+
+    def __missing__(self, word: str | int) -> bytes:
+        own = [word] if isinstance(word, int) else self.own.native.encode_single_piece(word.encode())
+        found = self[word] = b"".join([self.own.id_bytes[i] for i in own])
+        return found
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -218,9 +231,8 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
             columns: list[list] = [[] for _ in names]
             if seen >= LOT:
                 lot, seen, counts = lot + 1, 0, np.zeros(capacity + 1, np.int64)
-            ids = own.encode_batch([x.decode() for x in utf8(batch.column(1))], decoded=False)
-            for doc_id, (tokens, _) in zip(batch.column(0).to_pylist(), ids, strict=True):
-                tokens += end
+            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                tokens = own.ids(text.decode()) + end
                 n, at, piece = len(tokens) // 4, 0, 0
                 while at < n:
                     size = (n - 1) % capacity + 1 if not at else capacity

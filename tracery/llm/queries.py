@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracery.llm.bpe_codec import encoding_digests
 from tracery.llm.exact_dedup import exact_dedup
+from tracery.llm.lp_packing import pack
 from tracery.llm.minhash_dedup import near_duplicates
 from tracery.llm.ogg_media import describe_media, to_media
 from tracery.llm.zip_warc import archive_round_trip
@@ -38,8 +39,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_ogg_media, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

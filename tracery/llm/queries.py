@@ -12,6 +12,7 @@ from tracery.llm.exact_dedup import exact_dedup
 from tracery.llm.lp_packing import pack
 from tracery.llm.minhash_dedup import near_duplicates
 from tracery.llm.ogg_media import describe_media, to_media
+from tracery.llm.quality_rules import classify
 from tracery.llm.secret_scan import find_secrets
 from tracery.llm.zip_warc import archive_round_trip
 
@@ -20,10 +21,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(to_media(_documents(spark, sf_dir)))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_documents(spark, sf_dir))
 
@@ -49,7 +58,7 @@ def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op4_secret_scan, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
+    return {f.__name__: f for f in (op2_ogg_media, op3_quality_rules, op4_secret_scan, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

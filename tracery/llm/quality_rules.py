@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> RuleMod
     some = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = with_statistics(some).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", *[f"s_{s}" for s in STATISTICS]).limit(SAMPLE)
     found = rows.select("y", *[f"s_{s}" for s in STATISTICS]).collect()
-    data = np.array([tuple(r) for r in found], dtype=np.float64).reshape(len(found), -1)
+    data = np.array([tuple(r) for r in found], dtype=np.float64).reshape(len(found), 1 + len(STATISTICS))
     return RuleModel.fit(data[:, 1:], data[:, 0]) if len(found) else RuleModel.fit(np.empty((0, len(STATISTICS))), np.empty(0))
 
 

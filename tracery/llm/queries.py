@@ -14,6 +14,7 @@ from tracery.llm.minhash_dedup import near_duplicates
 from tracery.llm.ogg_media import describe_media, to_media
 from tracery.llm.quality_rules import classify
 from tracery.llm.secret_scan import find_secrets
+from tracery.llm.toxicity import classify as classify_toxicity
 from tracery.llm.zip_warc import archive_round_trip
 
 
@@ -37,6 +38,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=4)
 
@@ -58,7 +63,7 @@ def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op3_quality_rules, op4_secret_scan, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
+    return {f.__name__: f for f in (op2_ogg_media, op3_quality_rules, op4_secret_scan, op5_toxicity, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

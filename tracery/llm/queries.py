@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracery.llm.bpe_codec import encoding_digests
 from tracery.llm.exact_dedup import exact_dedup
+from tracery.llm.lm_scoring import language_model_scores
 from tracery.llm.lp_packing import pack
 from tracery.llm.minhash_dedup import near_duplicates
 from tracery.llm.ogg_media import describe_media, to_media
@@ -26,6 +27,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(_documents(spark, sf_dir))
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_media(to_media(_documents(spark, sf_dir)))
 
@@ -63,7 +68,7 @@ def op10_lp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ogg_media, op3_quality_rules, op4_secret_scan, op5_toxicity, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_ogg_media, op3_quality_rules, op4_secret_scan, op5_toxicity, op6_minhash_dedup, op7_bpe_codec, op8_zip_warc, op9_exact_dedup, op10_lp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

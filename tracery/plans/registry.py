@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracery.plans import star
+from tracery.plans import graph, star
 
 
 def _modules():
-    return (star,)
+    return (star, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

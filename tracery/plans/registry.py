@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracery.plans import graph, star
+from tracery.plans import graph, ledger, star
 
 
 def _modules():
-    return (star, graph)
+    return (star, graph, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,7 +20,7 @@ def expand_numbers(marker: Column, widest: int = 500) -> Column:
     """
     plain = F.regexp_replace(F.translate(marker, SUPERSCRIPTS, PLAIN), DASHES, "-")
     inner = F.trim(F.regexp_replace(plain, r"[\[\]()]", ""))
-    parts = F.filter(F.transform(F.split(inner, r"\s*[,;]\s*"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(inner, r"\s*[,;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
     good = F.forall(parts, lambda p: p.rlike(r"^\d{1,9}(\s*-\s*\d{1,9})?$"))
 
     def ends(p: Column) -> tuple[Column, Column]:

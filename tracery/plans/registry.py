@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracery.plans import audit, graph, ledger, star
+from tracery.plans import audit, flows, graph, ledger, star
 
 
 def _modules():
-    return (star, graph, ledger, audit)
+    return (star, graph, ledger, audit, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

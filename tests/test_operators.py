@@ -21,9 +21,9 @@ def test_text_keys(spark):
     assert len(set(same)) == 3
 
 
-@pytest.mark.parametrize(("text", "found"), [("by U.N.E.P. and", True), ("unep 2020", False), ("UNEPish", False), ("UNEP", True)])
+@pytest.mark.parametrize(("text", "found"), [("by O.E.C.D. and", True), ("oecd 2020", False), ("OECDish", False), ("OECD", True)])
 def test_alias_of_capitals(spark, text, found):
-    pattern = tx.alias_pattern("UNEP").replace("(?iU)", "(?U)")
+    pattern = tx.alias_pattern("OECD").replace("(?iU)", "(?U)")
     assert col(spark, lambda x: x.rlike(pattern), text) == [found]
 
 
@@ -103,7 +103,7 @@ def test_files_and_config(spark, tmp_path):
         (tmp_path / name).write_bytes(name.encode())
     files = imports.scan_files(spark, str(tmp_path))
     assert files.count() == 3 and [r.stem for r in imports.colliding_stems(files).collect()] == ["a"]
-    assert imports.target_config("UNEP", ["unep", "UN  Environment"])["aliases"] == ["UNEP", "UN Environment"]
+    assert imports.target_config("OECD", ["oecd", "OE  Cooperation"])["aliases"] == ["OECD", "OE Cooperation"]
     for wrong in (lambda: imports.target_config("x", []), lambda: imports.target_config("ab", [], "city"), lambda: imports.run_config({"a": 1}, {"b": 2})):
         with pytest.raises(ValueError):
             wrong()

@@ -36,8 +36,8 @@ def test_bracket_ranges(spark):
 
 
 def test_identity_evidence(spark):
-    refs = spark.createDataFrame([("UNEP. 2020. Title",), ("Lee, 2020. About UNEP work",), ("Lee, 2020. T. https://docs.unep.org/x",), ("A, 2019. One. B, 2020. Two",), ("x http://[bad",)], "raw string")
-    found = [(x.evidence, x.needs_reference_split) for x in r.organization_evidence(refs, ["UNEP"], ["unep.org"]).collect()]
+    refs = spark.createDataFrame([("OECD. 2020. Title",), ("Lee, 2020. About OECD work",), ("Lee, 2020. T. https://docs.oecd.org/x",), ("A, 2019. One. B, 2020. Two",), ("x http://[bad",)], "raw string")
+    found = [(x.evidence, x.needs_reference_split) for x in r.organization_evidence(refs, ["OECD"], ["oecd.org"]).collect()]
     assert found == [(["signature"], False), ([], False), (["domain"], False), ([], True), ([], False)]
 
 

@@ -219,8 +219,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and key, one.
 
-    Rows are looked up by id and a hash of their text among the few that go or repeat, so the texts stay where they
-    are as long as those are few enough to be broadcast.
+    Rows are looked up by id and a hash of their text among those that go, by one shuffle of the documents at any size:
+    what goes grows with the corpus, so it is never broadcast.
     """
     decided = exact_dedup(docs)
     row = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("text_sha256").alias("__key"))
@@ -230,7 +230,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     again = written(row(again.select("doc_id", F.explode("rows").alias("row_hash"), "text_sha256")), "again")
     left = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row"))
-    left = left.join(gone, match, "left_anti")
+    left = left.join(gone.hint("merge"), match, "left_anti")
     once = left.join(again, match, "left_anti").select(*docs.columns)
     repeated = left.join(again, match).dropDuplicates(["__id", "__key"]).select(*docs.columns)
     return once.unionByName(repeated)

@@ -53,3 +53,14 @@ def test_defined_cases(spark):
     assert kept.columns == big.columns
     bad = kept.join(own, "doc_id").where(F.col("quality") == 0).count()
     assert bad <= 2
+
+
+def test_the_worst_line_is_found_wherever_it_stands():
+    own = q.STATISTICS.index("worst_line")
+    for n in (3, 64, 127, 128, 406, 1000):
+        for at in (0, 1, n // 2, n - 2, n - 1):
+            lines = ["plain words of a line"] * n
+            lines[at] = "|$!|$!xx"
+            assert q.statistics("\n".join(lines).encode())[own] == 0.75
+    assert q.statistics(b"\n\nab|d\n \n")[own] == 0.25
+    assert q.statistics(b"no marks\nat all")[own] == 0

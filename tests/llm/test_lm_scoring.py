@@ -109,3 +109,12 @@ def test_defined_cases(spark):
     assert m.language_model_scores(docs.limit(0)).count() == 0
     out = [(i, "only held out") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in m.language_model_scores(spark.createDataFrame(out, "doc_id long, text string")).collect())
+
+
+def test_every_window_is_learnt_from():
+    v, p, r = small()
+    own = m.Trainer(p, v, m.RATE, m.LANES)
+    for ids in r.integers(0, v.size + 1, (2 * m.LANES, 2 * m.WINDOW)):
+        own.read(ids)
+    own.run(True)
+    assert own.losses == own.seen == 4 * m.LANES * m.WINDOW

@@ -7,9 +7,9 @@ the corpus counts. So ``score`` is a normalised log-probability of the whole tex
 The network: a gated recurrent unit over embeddings, an output softmax over classes of tokens (by frequency, of equal
 mass) and one within each class. It is trained by truncated backpropagation: texts run side by side in lanes, windows
 of WINDOW tokens follow each other, the state is carried from window to window and reset where a text starts, and
-gradients stay within their window. All training texts pass through it whole; the loss is taken on every STRIDE-th
-window. Training is data-parallel: from a start made on a bounded sample (WARM tokens), each shard of texts trains its
-own copy, and the copies' mean, weighted by tokens, is the model. Scoring carries the state through whole texts too.
+gradients stay within their window. All training texts pass through it whole, and the loss is taken on every token.
+Training is data-parallel: from a start made on a bounded sample (WARM tokens), each shard of texts trains its
+own copy, and the copies' mean, weighted by the tokens learnt from, is the model. Scoring carries the state through whole texts too.
 
 The counts of the COUNTED most frequent tokens of at most LONG bytes travel to all tasks, a bounded table; all other
 tokens' counts never come together anywhere, but are joined with the texts that hold them by a shuffle.
@@ -36,7 +36,7 @@ FOLDS, HELD_OUT = 7, 2
 HEAD, CLASSES = 2000, 44
 COUNTED, LONG = 300_000, 64
 SIZE = 16
-LANES, WINDOW, STRIDE = 128, 16, 12
+LANES, WARM_LANES, WINDOW = 512, 128, 16
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 256, 64, 3_000_000
 RATE, CLIP = 0.02, 5.0
 WARM, WARM_TEXTS, PASSES = 120_000, 1000, 3
@@ -151,48 +151,58 @@ def log_probabilities(p: Params, v: Vocabulary, states: np.ndarray, targets: np.
         grads["bc"] += e.sum(axis=0)
         back = e @ p["wc"].T
     order = np.argsort(own, kind="stable")
+    sorted_states, sorted_targets = states[order], targets[order]
     ends = np.searchsorted(own[order], np.arange(v.n_classes))
+    inner_logs, inner_back = np.zeros(len(targets), out.dtype), np.zeros_like(states) if grads is not None else None
     for c in range(v.n_classes - 1):  # the last class has no network within
-        at = order[ends[c] : ends[c + 1]]
-        if not len(at):
+        at = slice(ends[c], ends[c + 1])
+        if at.start == at.stop:
             continue
         lo, hi = v.first[c], v.first[c + 1]
-        s = states[at]
+        s = sorted_states[at]
         inner = s @ p["wo"][lo:hi].T + p["bo"][lo:hi]
         w = np.exp(np.minimum(inner, 60, out=inner))
         sums = w.sum(axis=1, keepdims=True)
-        k, t = np.arange(len(at)), targets[at] - lo
-        out[at] += inner[k, t] - np.log(sums[:, 0])
+        k, t = np.arange(len(s)), sorted_targets[at] - lo
+        inner_logs[at] = inner[k, t] - np.log(sums[:, 0])
         if grads is not None:
             w /= sums
             w[k, t] -= 1
             grads["wo"][lo:hi] += w.T @ s
             grads["bo"][lo:hi] += w.sum(axis=0)
-            back[at] += w @ p["wo"][lo:hi]
+            inner_back[at] = w @ p["wo"][lo:hi]
+    out[order] += inner_logs
+    if grads is not None:
+        back[order] += inner_back
     return out, back
 
 
 def backward(p: Params, grads: Params, ids: np.ndarray, fresh: np.ndarray, tape: list, back: np.ndarray) -> None:
     """Backpropagation through the window; nothing flows into the state that it started from."""
     k = back.shape[2]
-    dx = np.empty((*ids.shape, 3 * k), np.float32)
+    dx, before = np.empty((*ids.shape, 3 * k), np.float32), np.stack([x[0] for x in tape])
+    da = np.empty_like(dx)
     dh = np.zeros_like(back[0])
     for t in range(len(ids) - 1, -1, -1):
         h, an, z, r, n = tape[t]
         dh = dh + back[t]
-        dn = dh * z * (1 - n * n)
-        dz = dh * (n - h) * z * (1 - z)
-        dr = dn * an * r * (1 - r)
-        dx[t] = np.hstack([dz, dr, dn])
-        da = np.hstack([dz, dr, dn * r])
-        grads["wh"] += h.T @ da
-        dh = dh * (1 - z) + da @ p["wh"].T
+        dn, own, gates = dh * z * (1 - n * n), dx[t], da[t]
+        own[:, :k] = dh * (n - h) * z * (1 - z)
+        own[:, k : 2 * k] = dn * an * r * (1 - r)
+        own[:, 2 * k :] = dn
+        gates[:, : 2 * k] = own[:, : 2 * k]
+        gates[:, 2 * k :] = dn * r
+        dh = dh * (1 - z) + gates @ p["wh"].T
         if fresh[t].any():
             dh = np.where(fresh[t][:, None], np.float32(0), dh)
+    grads["wh"] += before.reshape(-1, k).T @ da.reshape(-1, 3 * k)
     flat, x = dx.reshape(-1, 3 * k), ids.ravel()
-    grads["wx"] += p["embed"][x].T @ flat
-    grads["b"] += flat.sum(axis=0)
-    np.add.at(grads["embed"], x, flat @ p["wx"].T)
+    order = np.argsort(x, kind="stable")
+    own, at = np.unique(x[order], return_index=True)
+    sums = np.add.reduceat(flat[order], at)  # by input
+    grads["wx"] += p["embed"][own].T @ sums
+    grads["b"] += sums.sum(axis=0)
+    grads["embed"][own] += sums @ p["wx"].T
 
 
 class Lanes:
@@ -218,7 +228,7 @@ class Lanes:
             inputs = np.full((steps, self.lanes), self.opening, np.int64)
             targets, tags = np.full((steps, self.lanes), -1, np.int64), np.full((steps, self.lanes), -1, np.int64)
             fresh = np.zeros((steps, self.lanes), dtype=bool)
-            for k in range(self.lanes):
+            for k in np.flatnonzero(self.left):
                 at = 0
                 while at < steps and self.queues[k]:
                     ids, tag = self.queues[k][0]
@@ -240,14 +250,19 @@ class Lanes:
 
 
 class Trainer:
-    """Truncated backpropagation with Adagrad steps."""
+    """Truncated backpropagation with Adagrad steps, each by ``lanes`` x WINDOW tokens or a little more.
+
+    Where fewer lanes are busy, as the last long texts leave them, windows wait for each other: the parameters do not
+    change meanwhile, so they are learnt from side by side. The last step of all has the weight of its tokens.
+    """
 
-    def __init__(self, p: Params, v: Vocabulary, rate: float, stride: int, squares: Params | None = None):
-        self.p, self.v, self.rate, self.stride = {k: a.copy() for k, a in p.items()}, v, rate, stride
+    def __init__(self, p: Params, v: Vocabulary, rate: float, lanes: int, squares: Params | None = None):
+        self.p, self.v, self.rate, self.full = {k: a.copy() for k, a in p.items()}, v, rate, lanes * WINDOW
         self.squares = {k: a.copy() for k, a in squares.items()} if squares else {k: np.full_like(a, 0.05) for k, a in p.items()}
-        self.lanes, self.table = Lanes(v.size + 1), inputs_table(p)
-        self.h = np.zeros((LANES, SIZE), np.float32)
-        self.turn, self.seen, self.loss, self.losses = 0, 0, 0.0, 0
+        self.lanes, self.table = Lanes(v.size + 1, lanes), inputs_table(p)
+        self.h = np.zeros((lanes, SIZE), np.float32)
+        self.waiting: list[tuple] = []
+        self.places, self.seen, self.loss, self.losses = 0, 0, 0.0, 0
 
     def read(self, ids: np.ndarray) -> None:
         self.lanes.put(ids, 0)
@@ -255,33 +270,41 @@ class Trainer:
 
     def run(self, drain: bool) -> None:
         for inputs, targets, fresh, _ in self.lanes.windows(drain):
-            there = targets >= 0
-            # a window of few lanes, as the last long texts leave it, is no fair sample to step by
-            learn = self.turn % self.stride == 0 and 4 * int(there.sum()) >= there.size
-            self.turn += 1
-            self.seen += int(there.sum())
-            tape: list | None = [] if learn else None
-            states, self.h = advance(self.p, self.table, inputs, fresh, self.h, tape)
-            if learn:
-                self._step(inputs, targets, fresh, there, states, tape)
-                self.table = inputs_table(self.p)
-
-    def _step(self, inputs, targets, fresh, there, states, tape) -> None:
+            busy = np.flatnonzero((targets >= 0).any(axis=0))
+            inputs, targets, fresh = (x[:, busy] for x in (inputs, targets, fresh))
+            tape: list[tuple] = []
+            states, self.h[busy] = advance(self.p, self.table, inputs, fresh, self.h[busy], tape)
+            n = int((targets >= 0).sum())
+            self.seen += n
+            if 4 * n < self.full:  # a window of few lanes, as the last long texts leave it, is no fair sample to step by
+                continue
+            self.waiting.append((inputs, targets, fresh, states, tape))
+            self.places += n
+            if self.places >= self.full:
+                self._step()
+        if drain and self.waiting:
+            self._step()
+
+    def _step(self) -> None:
+        held = self.waiting
+        inputs, targets, fresh, states = (np.concatenate([w[k] for w in held], axis=1) for k in range(4)) if len(held) > 1 else held[0][:4]
+        tape = [tuple(map(np.concatenate, zip(*parts, strict=True))) for parts in zip(*[w[4] for w in held], strict=True)] if len(held) > 1 else held[0][4]
+        there = targets >= 0
         grads = {k: np.zeros_like(a) for k, a in self.p.items()}
-        n = int(there.sum())
         out, back = log_probabilities(self.p, self.v, states[there], targets[there], grads)
         self.loss -= float(out.sum())
-        self.losses += n
+        self.losses += len(out)
         whole = np.zeros_like(states)
         whole[there] = back
         backward(self.p, grads, inputs, fresh, tape, whole)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / WINDOW
-        scale = np.float32(min(1.0, CLIP / max(norm, 1e-9)) / WINDOW)  # windows with idle lanes weigh less
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / WINDOW * self.full / self.places
+        scale = np.float32(min(1.0, CLIP / max(norm, 1e-9)) / WINDOW)  # so clipped, a step of fewer tokens weighs less
         for k, g in grads.items():
             g *= scale
             s = self.squares[k]
             s += g * g
             self.p[k] -= np.float32(self.rate) * g / np.sqrt(s)
+        self.table, self.waiting, self.places = inputs_table(self.p), [], 0
 
 
 def score_texts(p: Params, v: Vocabulary, data: list[np.ndarray]) -> np.ndarray:
@@ -331,7 +354,7 @@ def train_network(train: DataFrame, v: Vocabulary) -> Params:
     first = start(v)
     if not v.total:
         return first
-    warm = Trainer(first, v, RATE * 2, 1)
+    warm = Trainer(first, v, RATE * 2, WARM_LANES)
     room, sample = WARM, []
     rows = train.select("doc_id", F.substring("text", 1, 20 * WARM).alias("text"))  # more than WARM tokens are never used
     for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).toLocalIterator():
@@ -349,7 +372,7 @@ def train_network(train: DataFrame, v: Vocabulary) -> Params:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, vocabulary, squares = held.value
-        own = Trainer(p, vocabulary, RATE, STRIDE, squares)
+        own = Trainer(p, vocabulary, RATE, LANES, squares)
         for batch in batches:
             for data in utf8(batch.column(0)):
                 own.read(vocabulary.ids(vocabulary.ranks(data)[1]))

@@ -118,3 +118,15 @@ def test_every_window_is_learnt_from():
         own.read(ids)
     own.run(True)
     assert own.losses == own.seen == 4 * m.LANES * m.WINDOW
+
+
+def test_few_and_long_texts_are_learnt_from():
+    v, p, r = small()
+    text = np.tile(r.integers(0, v.size, 20), 600)
+    for n in (1, 3):
+        own = m.Trainer(p, v, m.RATE, 64)
+        for _ in range(n):
+            own.read(text)
+        own.run(True)
+        assert own.losses == own.seen == n * len(text)
+        assert m.score_texts(own.p, v, [text])[0] > m.score_texts(p, v, [text])[0] + 100

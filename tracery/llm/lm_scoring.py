@@ -274,12 +274,9 @@ class Trainer:
             inputs, targets, fresh = (x[:, busy] for x in (inputs, targets, fresh))
             tape: list[tuple] = []
             states, self.h[busy] = advance(self.p, self.table, inputs, fresh, self.h[busy], tape)
-            n = int((targets >= 0).sum())
-            self.seen += n
-            if 4 * n < self.full:  # a window of few lanes, as the last long texts leave it, is no fair sample to step by
-                continue
             self.waiting.append((inputs, targets, fresh, states, tape))
-            self.places += n
+            n = int((targets >= 0).sum())
+            self.seen, self.places = self.seen + n, self.places + n
             if self.places >= self.full:
                 self._step()
         if drain and self.waiting:

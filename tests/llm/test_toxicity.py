@@ -43,3 +43,20 @@ def test_defined_cases(spark):
     assert [r.predicted for r in found] == [0, 0, 1, 0, 0] and all(0 <= r.score <= 1 for r in found)
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (1, 1)], "doc_id long, toxic int")
     assert t.classify(docs, labels).count() == 5 and t.classify(docs.limit(0), labels).count() == 0
+
+
+def test_a_capped_class_weighs_as_all_its_labels(spark, monkeypatch):
+    assert t.mine([("wxyz@1", 30, 2)], 0.5) == ["wxyz@1"] and t.mine([("wxyz@1", 30, 2)], 0.5, clean_weight=4.0) == []
+    r = np.random.default_rng(4)
+    votes = (r.random((400, 5)) < 0.2).astype(float)
+    times = r.integers(1, 4, 400)
+    once, repeated = t.LabelModel(votes, 0.2, np.full(5, 0.8), times.astype(float)), t.LabelModel(np.repeat(votes, times, 0), 0.2, np.full(5, 0.8))
+    assert np.allclose(once.rate, repeated.rate) and np.allclose(once.strong, repeated.strong)
+    p, x = once.posterior(votes), t.features(votes)
+    assert np.allclose(t.fit_linear(x, p, times.astype(float)), t.fit_linear(np.repeat(x, times, 0), np.repeat(p, times)), atol=1e-4)
+    monkeypatch.setattr(t, "TOXIC_ROWS", 40)
+    monkeypatch.setattr(t, "CLEAN_ROWS", 80)
+    docs = spark.createDataFrame([(i, f"you idiot {i}" if i % 10 == 0 else f"fine words {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    own = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    assert abs(t.train(docs, labels).label_model.balance - np.mean([i % 10 == 0 for i in own])) < 1e-9

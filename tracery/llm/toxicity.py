@@ -7,8 +7,10 @@ expectation maximisation estimates that without using a row's label, from the cl
 guess. Voters that speak together more than their accuracies explain (correlation of residuals) share their weight. A
 logistic classifier over the votes and how many of them there are is then fitted to the posteriors.
 
-Stems, balance and model come from at most TOXIC_ROWS and CLEAN_ROWS labelled rows of the training fold
-(crc32(doc_id as text) mod 5 is not 0), those with the least hash of doc_id; every text is scored whole.
+Stems and model come from at most TOXIC_ROWS and CLEAN_ROWS labelled rows of the training fold
+(crc32(doc_id as text) mod 5 is not 0), those with the least hash of doc_id. The two classes are counted over all its
+labels, and a sampled row weighs as many labels as it stands for, in the balance, in the stems' precision and in both
+models. Every text is scored whole.
 
 Defined cases: a null or empty text gets no votes and a score like any text without; without labelled rows of both
 classes nothing is mined and the balance is the default; null labels are left out; repeated rows and null ids are
@@ -108,11 +110,14 @@ def _chance(t: int, n: int, balance: float) -> float:
     return sum(math.comb(n, k) * balance**k * (1 - balance) ** (n - k) for k in range(t, n + 1))
 
 
-def mine(counts: list[tuple[str, int, int]], balance: float, most: int = STEMS) -> list[str]:
-    """The stems of high precision that cover most toxic rows; a longer form of one taken adds nothing and is left out."""
+def mine(counts: list[tuple[str, int, int]], balance: float, most: int = STEMS, clean_weight: float = 1.0) -> list[str]:
+    """The stems of high precision that cover most toxic rows; a longer form of one taken adds nothing and is left out.
+
+    ``balance`` is the counted rows' own, and ``clean_weight`` what a clean one of them weighs against a toxic one.
+    """
     taken: list[str] = []
     words: list[str] = []
-    good = [(-t, s, c) for s, t, c in counts if t >= LEAST_DOCS and (t + 0.5) / (t + c + 1) >= PRECISION]
+    good = [(-t, s, c) for s, t, c in counts if t >= LEAST_DOCS and (t + 0.5) / (t + clean_weight * c + 1) >= PRECISION]
     for t, stem, c in sorted(good):
         if -t < 60 and _chance(-t, c - t, balance) > CHANCE:
             continue
@@ -128,26 +133,27 @@ def mine(counts: list[tuple[str, int, int]], balance: float, most: int = STEMS)
 class LabelModel:
     """P(toxic | votes) from class-conditional rates of speaking, estimated by expectation maximisation."""
 
-    def __init__(self, votes: np.ndarray, balance: float, guess: np.ndarray):
+    def __init__(self, votes: np.ndarray, balance: float, guess: np.ndarray, weights: np.ndarray | None = None):
         n, m = votes.shape
         self.balance = balance
-        spoke = votes.mean(axis=0) if n else np.zeros(m)
+        weights = np.ones(n) if weights is None else weights
+        spoke = weights @ votes / weights.sum() if n else np.zeros(m)
         # the first guess: of what a voter says, ``guess`` is right
         self.rate = np.stack([np.clip(spoke * (1 - guess) / (1 - balance), 1e-5, 0.5), np.clip(spoke * guess / balance, 1e-4, 0.95)])
         self.strong = np.zeros((m, m))
         for turn in range(ROUNDS if n else 0):
             p = self.posterior(votes)
             for k, q in enumerate((1 - p, p)):
-                self.rate[k] = np.clip((q @ votes + (0.01, 0.1)[k]) / (q.sum() + 1.0), 1e-5, 0.95)
+                self.rate[k] = np.clip(((q * weights) @ votes + (0.01, 0.1)[k]) / (q @ weights + 1.0), 1e-5, 0.95)
             self.rate[1] = np.maximum(self.rate[1], self.rate[0])  # voters speak against, never for, a text
             if turn == ROUNDS // 2:
-                self.strong = self._correlations(votes, p)
+                self.strong = self._correlations(votes, p, weights)
 
-    def _correlations(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def _correlations(self, votes: np.ndarray, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The correlations of what the voters' rates leave unexplained, where they are more than noise."""
         rest = votes - np.outer(p, self.rate[1]) - np.outer(1 - p, self.rate[0])
-        spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        self.correlation = np.nan_to_num((rest.T @ rest) / len(votes) / np.outer(spread, spread))
+        spread = np.sqrt(weights @ rest**2 / weights.sum()) + 1e-9
+        self.correlation = np.nan_to_num((rest.T @ (rest * weights[:, None])) / weights.sum() / np.outer(spread, spread))
         strong = np.where(self.correlation > 0.25, self.correlation, 0)
         np.fill_diagonal(strong, 0)
         return strong
@@ -167,14 +173,15 @@ def features(votes: np.ndarray) -> np.ndarray:
     return np.hstack([np.ones((len(votes), 1)), votes, n > 0, np.log1p(n)])
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+def fit_linear(x: np.ndarray, p: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Logistic weights for soft labels, by Newton steps with a ridge penalty on all but the bias."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE * max(1, len(x)) / 100)
+    weights = np.ones(len(x)) if weights is None else weights
+    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE * max(1, weights.sum()) / 100)
     penalty[0] = 1e-6
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (q - p) + penalty * w
-        step = np.linalg.solve(x.T @ (x * np.maximum(q * (1 - q), 1e-6)[:, None]) + np.diag(penalty + 1e-9), gradient)
+        gradient = x.T @ (weights * (q - p)) + penalty * w
+        step = np.linalg.solve(x.T @ (x * (weights * np.maximum(q * (1 - q), 1e-6))[:, None]) + np.diag(penalty + 1e-9), gradient)
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
@@ -192,16 +199,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features(votes) @ self.weights, -30, 30)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(y, text) of the bounded training sample."""
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """(y, text) of the bounded training sample, and by class how many labels a row of it stands for."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     own = own.where(training_fold("doc_id", FOLDS) != HELD_OUT).distinct()
     first = lambda y, n: own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, TOXIC_ROWS).union(first(0, CLEAN_ROWS))  # a bounded number of rows of two numbers
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    counts = {r.y: r["count"] for r in own.where("y in (0, 1)").groupBy("y").count().collect()}
+    stands = {y: max(1.0, counts.get(y, 0) / most) for y, most in ((0, CLEAN_ROWS), (1, TOXIC_ROWS))}
+    return texts(docs).join(F.broadcast(chosen), "doc_id").select("y", "text"), stands
 
 
-def _counted(sample: DataFrame) -> list[tuple[str, int, int]]:
+def _counted(sample: DataFrame, clean_weight: float) -> list[tuple[str, int, int]]:
     """(stem, toxic rows, clean rows) of the stems that at least LEAST_DOCS toxic rows hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +222,19 @@ def _counted(sample: DataFrame) -> list[tuple[str, int, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[1][k] for k in keys], pa.int64()), pa.array([found[0][k] for k in keys], pa.int64())], names=["stem", "t", "c"])
 
     counts = sample.where("y in (0, 1)").mapInArrow(run, "stem string, t long, c long").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    likely = counts.where(f"t >= {LEAST_DOCS} and (t + 0.5) / (t + c + 1) >= {PRECISION}").orderBy(F.desc("t"), "stem").limit(20 * STEMS)
+    likely = counts.where(f"t >= {LEAST_DOCS} and (t + 0.5) / (t + {clean_weight!r}D * c + 1) >= {PRECISION}").orderBy(F.desc("t"), "stem").limit(20 * STEMS)
     return [tuple(r) for r in likely.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     bounded_batches(docs.sparkSession)
-    sample = _sample(docs, labels)
+    sample, stands = _sample(docs, labels)
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n = sizes.get(1, 0), sizes.get(0, 0) + sizes.get(1, 0)
-    balance = min(0.98, max(0.02, n_toxic / n)) if 0 < n_toxic < n else BALANCE
-    voters = Voters(mine(_counted(sample), balance))
+    bounded = lambda toxic, clean: min(0.98, max(0.02, toxic / (toxic + clean))) if toxic and clean else BALANCE
+    balance = bounded(n_toxic * stands[1], (n - n_toxic) * stands[0])
+    clean_weight = stands[0] / stands[1]
+    voters = Voters(mine(_counted(sample, clean_weight), bounded(n_toxic, n - n_toxic), clean_weight=clean_weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,12 +247,15 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         votes[k, row.votes] = 1
     y = np.array([r.y for r in rows])
     # a voter's first guess is its precision on the labelled rows, smoothed towards one that is mostly right
-    guess = (votes[y == 1].sum(axis=0) + 1.6) / (votes.sum(axis=0) + 2.0) if len(y) else np.full(len(voters.names), 0.8)
-    model = LabelModel(votes, balance, np.clip(guess, 0.02, 0.98))
+    weights = np.where(y == 1, stands[1], stands[0]) if len(y) else np.ones(0)
+    weights = weights * (len(y) / max(1.0, weights.sum()))  # as many rows as the sample, in the labels' proportions
+    guess = (weights[y == 1] @ votes[y == 1] + 1.6) / (weights @ votes + 2.0) if len(y) else np.full(len(voters.names), 0.8)
+    model = LabelModel(votes, balance, np.clip(guess, 0.02, 0.98), weights)
     if not len(y):  # no text to fit to: one of each vote, and one without
         votes = np.vstack([np.eye(len(voters.names)), np.zeros((len(voters.names), len(voters.names)))])
+        weights = np.ones(len(votes))
         model.rate = np.stack([np.full(len(voters.names), 0.002), np.full(len(voters.names), 0.2)])
-    return ToxicityModel(voters, fit_linear(features(votes), model.posterior(votes)), model)
+    return ToxicityModel(voters, fit_linear(features(votes), model.posterior(votes), weights), model)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,24 +2,36 @@
 
 Documents become token pieces of at most ``capacity`` tokens. Only the histogram of lengths, at most ``capacity``
 numbers, comes to the driver. There a linear program over configurations (multisets of lengths that fit a sequence)
-asks for the fewest sequences that cover the histogram. It is solved by multiplicative weights: lengths that the
-chosen configurations cover least keep the most weight, and a knapsack dynamic program prices the heaviest
-configuration of each round. The solution is rounded down, and what is left, a few pieces for each configuration, is
-packed by best fit.
+asks for the fewest sequences that cover the histogram:
+
+    min sum x_c   subject to   sum_c copies(n, c) x_c >= histogram[n]   for every length n.
+
+It is solved by multiplicative weights. Each length has a weight, its dual price, at first the share of a sequence that
+it fills. In each of ROUNDS rounds an oracle covers the histogram: a knapsack dynamic program prices, over all lengths
+that are left, the heaviest configuration with each length as its longest, and the longest lengths take theirs. A
+length that ended in configurations with free room then gets a higher weight, by the factor that the room asks for.
+The mean of the rounds' coverings is a fractional solution; as the oracle takes configurations whole times only, its
+best member, never worse than the mean, is that solution rounded. Any weights over the heaviest configuration's are
+feasible duals, so every round also gives a lower bound, and the gap between the two is known. The same steps are
+taken at every size, and the work depends on ``capacity`` alone. Best-fit decreasing is worked out beside it; in the
+cases where it needs fewer sequences its answer is used, and ``Solution.by_program`` says so.
 
 Pieces of one length are interchangeable: each gets its rank among them from counts by partition, and the plan, whose
-size depends on ``capacity`` alone, turns (length, rank) into a place. No piece is moved to pack it.
+size depends on ``capacity`` alone, turns (length, rank) into a place. No piece is moved to pack it, but for one narrow
+shuffle that brings each run of pieces the ranks at which it starts.
 
 Defined cases: a null or empty text is its end token alone; only documents over ``capacity`` are cut, the first piece
 taking the remainder; a null doc_id is kept; repeated rows are packed each; an empty table gives an empty result;
-other columns are ignored.
+other columns, whatever their names, are ignored. Which of several pieces of one length goes where is arbitrary.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,15 +42,15 @@ from pyspark.sql import functions as F
 from tracery.llm.bpe_codec import CACHED, Codec
 from tracery.llm.common import bounded_batches, texts, utf8, written
 
+log = logging.getLogger(__name__)
+
 CAPACITY = 1024
-#: How fast weights fall with coverage, how much of a length a round covers, and how many lengths it prices.
-RATE = 1.0
-STEP = 0.5
-PRICED = 160
-#: Rounds in a row without a full sequence after which the rest is left to rounding.
-PATIENCE = 20
-#: Pieces under full length that are always left to rounding, which needs many lengths to choose from.
-RESERVE = 1000
+#: Rounds of the program, and how far a round moves the weights towards what its covering asks for.
+ROUNDS, RATE = 6, 0.3
+#: How much more than its length's share a full sequence's piece weighs at first: long pieces are placed before short ones.
+TILT = 0.3
+#: One pricing serves this share of the pieces that are left, and this many longest lengths, at most.
+SERVED, LONGEST = 1 / 32, 64
 #: Pieces whose ranks are counted together.
 LOT = 1 << 16
 
@@ -46,71 +58,135 @@ LOT = 1 << 16
 # --- the plan, from the histogram alone
 
 
-def price(values: np.ndarray, limits: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
-    """The heaviest configuration: ((length, copies), ...) of length <= capacity, no more copies than there are pieces.
+Configuration = tuple[tuple[int, int], ...]  # (length, copies), the longest first
 
-    A knapsack by dynamic programming over the used length, all capacities at once for each length.
-    """
-    best = np.zeros(capacity + 1)
-    choice: list[tuple[int, int, np.ndarray]] = []
-    lengths = np.flatnonzero((values > 0) & (limits > 0))
-    for n in lengths[::-1]:
-        count = 1
-        left = int(min(limits[n], capacity // n))
-        while left > 0:  # copies in binary portions
-            take = min(count, left)
-            weight, gain = int(take * n), take * values[n]
-            moved = best[: capacity + 1 - weight] + gain
-            better = np.zeros(capacity + 1, dtype=bool)
-            better[weight:] = moved > best[weight:] + 1e-15
-            best[weight:] = np.where(better[weight:], moved, best[weight:])
-            choice.append((int(n), take, better))
-            left -= take
-            count *= 2
-    at, found = capacity, Counter()
-    for n, take, better in reversed(choice):
-        if better[at]:
-            found[n] += take
-            at -= n * take
-    return tuple(sorted(found.items(), reverse=True))
-
-
-def configurations(histogram: np.ndarray, capacity: int) -> dict[tuple[tuple[int, int], ...], float]:
-    """A fractional solution of the covering program: configuration -> how often.
-
-    Multiplicative weights for ``min sum x, sum_c a[n, c] x_c >= h[n]``, started at the duals ``n / capacity`` of a
-    perfect packing: a length's weight falls as it is covered, so that all lengths are used up at the same pace. Each
-    round prices the heaviest configuration over the PRICED weightiest lengths and takes it so often that the scarcest
-    of its lengths is covered by STEP, at least once. At least one length gets that far in each round, which bounds
-    their number by a multiple of the number of lengths. Only full sequences are taken: as no solution has fewer than
-    the tokens fill, those are optimal, and what can't be filled is left to rounding while it is still diverse.
+
+class Pricing:
+    """The knapsack dynamic program: for each length, the heaviest configuration in which it is the longest.
+
+    ``values`` and ``limits`` are by length; a configuration holds at most ``limits`` copies of a length. Copies come
+    in binary portions, and the best weight for every capacity is kept after each portion, so that what may stand
+    below a length is read off the state before it.
     """
-    h = histogram.astype(np.float64)
-    left = h.copy()
-    weight = (h > 0).astype(np.float64)
-    jitter = np.random.Generator(np.random.PCG64(1)).uniform(0.98, 1.0, len(h))
-    solution: dict[tuple[tuple[int, int], ...], float] = {}
-    unfilled = 0
-    for turn in range(8 * capacity):
-        open_ = np.flatnonzero(left >= 1)
-        if not len(open_) or unfilled == PATIENCE or left[: capacity].sum() <= RESERVE:
+
+    def __init__(self, values: np.ndarray, limits: np.ndarray, capacity: int):
+        self.values, self.limits, self.capacity = values, limits, capacity
+        self.lengths = np.flatnonzero(limits > 0)
+        portions, before = [], {}
+        for n in self.lengths[self.lengths <= capacity // 2].tolist():  # a longer one has nothing longer above it
+            before[n] = len(portions)
+            left, take = int(min(limits[n], capacity // n)), 1
+            while left:
+                portions.append((n, min(take, left)))
+                left -= portions[-1][1]
+                take *= 2
+        self.portions = np.array(portions, dtype=np.int64).reshape(-1, 2)
+        self.best, self.last = np.zeros((len(portions) + 1, capacity + 1)), np.full((len(portions) + 1, capacity + 1), -1, np.int32)
+        for k, (n, copies) in enumerate(portions):
+            weight, now, choice = n * copies, self.best[k + 1], self.last[k + 1]
+            now[:], choice[:] = self.best[k], self.last[k]
+            moved = now[: capacity + 1 - weight] + copies * values[n]
+            better = moved > now[weight:] + 1e-12
+            np.copyto(now[weight:], moved, where=better)
+            np.copyto(choice[weight:], k, where=better)
+        self.before = np.array([before.get(n, len(portions)) for n in self.lengths.tolist()], dtype=np.int64)
+        self.copies, self.weights = np.ones(len(self.lengths), np.int64), np.zeros(len(self.lengths))
+        most = np.minimum(limits[self.lengths], capacity // np.maximum(self.lengths, 1))
+        for copies in range(1, int(most.max(initial=0)) + 1):
+            at = np.flatnonzero(most >= copies)
+            weight = copies * values[self.lengths[at]] + self.best[self.before[at], capacity - copies * self.lengths[at]]
+            up = at[weight > self.weights[at] + 1e-12]
+            self.weights[up], self.copies[up] = weight[weight > self.weights[at] + 1e-12], copies
+
+    def heaviest(self) -> float:
+        return float(self.weights.max(initial=0.0))
+
+    def configuration(self, k: int) -> Configuration:
+        """The heaviest configuration whose longest length is ``lengths[k]``."""
+        n, copies = int(self.lengths[k]), int(self.copies[k])
+        found, at, row = Counter({n: copies}), self.capacity - n * copies, int(self.before[k])
+        while (row := int(self.last[row, at])) >= 0:
+            m, c = self.portions[row].tolist()
+            found[m] += c
+            at -= m * c
+        return tuple(sorted(found.items(), reverse=True))
+
+
+def lower_bound(values: np.ndarray, histogram: np.ndarray, capacity: int) -> float:
+    """What duals in proportion to ``values`` prove: no covering has fewer sequences."""
+    heaviest = Pricing(values, histogram, capacity).heaviest()
+    return float(histogram @ values) / heaviest if heaviest else 0.0
+
+
+def covering(values: np.ndarray, histogram: np.ndarray, capacity: int) -> Counter:
+    """The oracle: configurations that hold each piece once, priced by ``values`` over all that is left."""
+    left, found = histogram.astype(np.int64), Counter()
+    while left.any():
+        priced, served = Pricing(values, left, capacity), 0
+        most = max(1, int(left.sum() * SERVED))
+        for k in range(len(priced.lengths) - 1, max(-1, len(priced.lengths) - 1 - LONGEST), -1):
+            config = priced.configuration(k)
+            often = min(int(left[n]) // c for n, c in config)
+            if often:  # else one before it took what it needs, and the next pricing will see that
+                found[config] += often
+                for n, c in config:
+                    left[n] -= often * c
+                served += often
+                if served >= most:
+                    break
+    return found
+
+
+def _asked(found: Counter, capacity: int) -> np.ndarray:
+    """By length, the mean of capacity / filled over the configurations that its pieces are in; 1 where all are full."""
+    total, n_pieces = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    for config, often in found.items():
+        filled = sum(n * c for n, c in config)
+        for n, c in config:
+            total[n] += often * c * capacity / filled
+            n_pieces[n] += often * c
+    return np.where(n_pieces > 0, total / np.maximum(n_pieces, 1), 1.0)
+
+
+@dataclass
+class Solution:
+    """A whole covering, the lower bound proved, the mean of the rounds' coverings, and where the covering is from."""
+
+    configurations: Counter
+    bound: float
+    fractional: float
+    by_program: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(self.configurations.values())
+
+    @property
+    def gap(self) -> float:
+        return self.sequences / self.bound - 1 if self.bound else 0.0
+
+
+def solve(histogram: np.ndarray, capacity: int = CAPACITY) -> Solution:
+    """The program's best rounded covering; best fit's where that has fewer sequences."""
+    share = np.arange(capacity + 1) / capacity
+    values = share * (1 + TILT * share)
+    # duals that count a length as whole where only those below a threshold fit beside it, and these as nothing
+    least = np.arange(capacity // 2 + 1)[:, None] / capacity
+    duals = np.where(share > 1 - least, 1.0, np.where(share >= least, share, 0.0))
+    bound = lower_bound(duals[int((duals @ histogram).argmax())], histogram, capacity)
+    best, counts = None, []
+    for _ in range(ROUNDS):
+        bound = max(bound, lower_bound(values, histogram, capacity))
+        found = covering(values, histogram, capacity)
+        counts.append(sum(found.values()))
+        if best is None or counts[-1] < sum(best.values()):
+            best = found
+        if counts[-1] <= np.ceil(bound - 1e-6):
             break
-        order = np.argsort(-(weight[open_] * np.roll(jitter, turn)[open_]), kind="stable")[:PRICED]
-        priced = open_[order]
-        values = np.zeros_like(h)
-        values[priced] = priced * weight[priced] / weight[priced].max()
-        config = price(values, np.floor(left).astype(np.int64), capacity)
-        if sum(n * k for n, k in config) < capacity:
-            unfilled += 1
-            continue
-        unfilled = 0
-        most = min(left[n] / k for n, k in config)
-        times = min(most, max(1.0, STEP * min(h[n] / k for n, k in config)))
-        solution[config] = solution.get(config, 0.0) + times
-        for n, k in config:
-            left[n] -= times * k
-            weight[n] *= np.exp(-RATE * times * k / h[n])
-    return solution
+        values = values * (1 + RATE * (_asked(found, capacity) - 1))
+    other = best_fit(Counter({int(n): int(histogram[n]) for n in np.flatnonzero(histogram)}), capacity)
+    by_program = sum(best.values()) <= sum(other.values())
+    return Solution(best if by_program else other, bound, float(np.mean(counts)), by_program)
 
 
 def best_fit(pieces: Counter, capacity: int) -> Counter:
@@ -141,23 +217,14 @@ def best_fit(pieces: Counter, capacity: int) -> Counter:
     return sum(room.values(), Counter())
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
     """(configuration, how often) with whole numbers that place each piece of the histogram exactly once."""
-    fractional = configurations(histogram, capacity)
-    rest = Counter({int(n): int(histogram[n]) for n in np.flatnonzero(histogram)})
-    whole: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    for config, times in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
-        often = int(min(np.floor(times + 1e-9), *(rest[n] // k for n, k in config)))
-        if often:
-            whole.append((config, often))
-            for n, k in config:
-                rest[n] -= often * k
-    rest = +rest
-    whole += sorted(best_fit(rest, capacity).items(), reverse=True)
-    return whole
-
-
-def places(whole: list[tuple[tuple[tuple[int, int], ...], int]]) -> pd.DataFrame:
+    found = solve(histogram, capacity)
+    log.info("%d sequences, bound %.1f, gap %.4f, by the program: %s", found.sequences, found.bound, found.gap, found.by_program)
+    return sorted(found.configurations.items(), reverse=True)
+
+
+def places(whole: list[tuple[Configuration, int]]) -> pd.DataFrame:
     """The plan as ranges of ranks: (length, first, last, copies, sequence, offset), sorted by length and rank."""
     taken: Counter = Counter()
     rows, sequence = [], 0
@@ -259,7 +326,8 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, keep
     held = spark.sparkContext.broadcast({c: table[c].to_numpy() for c in table})
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = written(counts.select("lot", "length", before.alias("before")), "starts")
-    ranked = pieces.join(starts, ["lot", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # a lot has at most LOT rows of a length, and the starts grow with the input: a shuffle of narrow rows, never a broadcast
+    ranked = pieces.join(starts.hint("shuffle_hash"), ["lot", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
 

@@ -26,7 +26,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from tracery.llm.common import map_texts, texts
+from tracery.llm.common import map_texts, on_executor, shipped, texts
 
 #: Oniguruma's ``\s``.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -43,8 +43,8 @@ LATER = (
 #: Lower case of letters of Unicode 16 and 17 that Python does not know.
 LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
-#: Words kept with their encodings, in each Python worker.
-CACHED = 400_000
+#: Words kept with their encodings, in each Python worker, and as many of the generation before them.
+CACHED = 200_000
 #: Verdicts on token pairs kept, and the longest word merged beside others rather than alone.
 PAIRS = 1_000_000
 WIDE = 48
@@ -164,6 +164,7 @@ class Codec:
         self.sound: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
         self.word_ids: dict[str | int, bytes] = {}
+        self.older: tuple[dict[str | int, bytes], dict[str | int, bytes]] = {}, {}
         self.word_text: dict[str | int, bytes] = {}
         self.exactly_merged = self.proposed = 0
 
@@ -432,13 +433,16 @@ class Codec:
 
     def encode_batch(self, data: list[str], decoded: bool = True) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text if asked for) of each text."""
-        if len(self.word_ids) > CACHED:
-            self.word_ids.clear()
-            self.word_text.clear()
+        if len(self.word_ids) > CACHED:  # words still in use come back from the older generation
+            self.older = self.word_ids, self.word_text
+            self.word_ids, self.word_text = {}, {}
         split = [self.split(t) for t in data]
         new: set[str | int] = set()
         for words in split:
             new.update(set(words).difference(self.word_ids))
+        for w in new & self.older[0].keys():
+            self.word_ids[w], self.word_text[w] = self.older[0][w], self.older[1][w]
+            new.remove(w)
         if new:
             self._learn_words(new)
         ids, text = self.word_ids.__getitem__, self.word_text.__getitem__
@@ -462,12 +466,13 @@ _codecs: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     """The codec of a file, read once in each process."""
     if path not in _codecs:
-        _codecs[path] = Codec(path)
+        _codecs[path] = Codec(on_executor(path))
     return _codecs[path]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the tokens of each whole text as an array, and the text that they decode to."""
+    shipped(docs.sparkSession, path)
 
     def each(data: list[bytes]) -> dict[str, list]:
         found = codec(path).encode_batch([x.decode() for x in data])
@@ -478,6 +483,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256); the same encoding, of which only digests leave the worker."""
+    shipped(docs.sparkSession, path)
 
     def each(data: list[bytes]) -> dict[str, list]:
         found = codec(path).encode_batch([x.decode() for x in data])

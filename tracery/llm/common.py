@@ -1,48 +1,88 @@
-"""What the operators share: tables in the shared folder, bounded Arrow batches, and byte-level text helpers."""
+"""What the operators share: tables in the shared folder, bounded slices of Arrow batches, and byte-level text helpers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of all contracts, ``[\x20\x09-\x0D]``; also what ``bytes.split()`` splits on.
 BLANKS = b" \t\n\x0b\x0c\r"
 
-#: Rows of text in an Arrow batch; bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 256
+#: Texts that a Python worker takes at a time from an Arrow batch, whose bytes Spark bounds.
+SLICE_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's folder below the one that driver and executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a temporary folder serves a local master, whose tasks all run on this machine; on a cluster
+    other machines would never see it, so there the setting is asked for. The folder goes when the application ends.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="tracery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _local.get(context.applicationId) or _local.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tracery-"))
+    own = f"{found.rstrip('/')}/{context.applicationId}"
+    if own not in _leaving:
+        _leaving.add(own)
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
+
+
+#: Folders that go when the application ends; temporary folders by application.
+_leaving: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to a table in the shared folder and read it again.
 
-    The table outlives lost executors. It is removed with the application's folder, not here: the result is lazy.
+    The table outlives lost executors. ``discard`` removes it when nothing reads it any more, the end of the
+    application what is left.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that no result still to be computed reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, without a copy; bounds what a worker makes of texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send a small file of the driver's to all executors; ``on_executor`` finds it there."""
+    spark.sparkContext.addFile(path)
+    return path
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep the Arrow batches of text columns small; the session's own smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def on_executor(path: str) -> str:
+    """Where a task reads a shipped file: at its own path on the driver's machine, else in Spark's folder of files."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,12 +104,11 @@ def map_texts(docs: DataFrame, each: Callable[[list[bytes]], dict[str, list]], s
     fields = [x.strip().rsplit(" ", 1)[0].strip("`") for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = each(utf8(batch.column(batch.schema.get_field_index("text"))))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(columns + [made[f] if isinstance(made[f], pa.Array) else pa.array(made[f]) for f in fields], names=[*keep, *fields])
 
-    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, f"{kept}, {schema}")
 
 

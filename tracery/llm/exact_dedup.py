@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import BLANKS, bounded_batches, texts, utf8, written
+from tracery.llm.common import BLANKS, sliced, texts, utf8, written
 
 PRIME = 2**31 - 1
 POINTS = (1_103_515_245, 1_566_083_941, 2_027_808_485, 69_069 * 30_011)
@@ -91,13 +91,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data = [x.translate(None, BLANKS) for x in utf8(batch.column(1))]
             made = _keys(data) | {"text_sha256": [hashlib.sha256(x).hexdigest() for x in data]}
             points = pc.cast(pc.utf8_length(batch.column(1)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), points, *map(pa.array, made.values())], names=["doc_id", "row_hash", "n_points", *made])
 
-    bounded_batches(docs.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, n_points long, f0 long, f1 long, norm_bytes long, text_sha256 string")
 
@@ -106,11 +105,10 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     """(lot, f0, f1, norm_bytes, body) of each row: a hash of doc_id, and the UTF-8 without white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             data = [x.translate(None, BLANKS) for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _keys(data).values()), pa.array(data, pa.binary())], names=["lot", *CLASS, "body"])
 
-    bounded_batches(docs.sparkSession)
     return texts(docs).select(F.xxhash64("doc_id").alias("lot"), "text").mapInArrow(run, "lot long, f0 long, f1 long, norm_bytes long, body binary")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import bounded_batches, texts, training_fold, utf8, written
+from tracery.llm.common import sliced, texts, training_fold, utf8, written
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, CLASSES = 2000, 44
@@ -333,7 +333,7 @@ def token_counts(train: DataFrame) -> DataFrame:
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["token", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for data in utf8(batch.column(0)):
                 held.update(data.lower().split())
                 held[END] += 1
@@ -370,7 +370,7 @@ def train_network(train: DataFrame, v: Vocabulary) -> Params:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, vocabulary, squares = held.value
         own = Trainer(p, vocabulary, RATE, LANES, squares)
-        for batch in batches:
+        for batch in sliced(batches):
             for data in utf8(batch.column(0)):
                 own.read(vocabulary.ids(vocabulary.ranks(data)[1]))
         own.run(True)
@@ -397,7 +397,6 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """Counts and network of the training fold of ``docs``."""
-    bounded_batches(docs.sparkSession)
     train = texts(docs).where(training_fold("doc_id", FOLDS) != HELD_OUT)
     counts = written(token_counts(train), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -412,7 +411,6 @@ def fit(docs: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    bounded_batches(docs.sparkSession)
     v = model.vocabulary
     held = docs.sparkSession.sparkContext.broadcast((model.params, v))
     rows = texts(docs).select("doc_id", (training_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
@@ -432,7 +430,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             columns = list(zip(*[(*w[:4], n, *w[4:]) for w, n in zip(waiting, net.tolist(), strict=True)], strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, held_out, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 words, ranks = v.ranks(data)
                 own = v.ids(ranks)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracery.llm.bpe_codec import CACHED, Codec
-from tracery.llm.common import bounded_batches, texts, utf8, written
+from tracery.llm.common import on_executor, shipped, sliced, texts, utf8, written
 
 log = logging.getLogger(__name__)
 
@@ -250,12 +250,12 @@ class PieceCodec(Codec):
         super().__init__(path)
         ranks = {self.piece[i]: i for i in self.vocab.values()}
         self.native = tiktoken.Encoding("pieces", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.known = _Learning(self)
+        self.known, self.before = _Learning(self), {}
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
-        if len(self.known) > CACHED:
-            self.known.clear()
+        if len(self.known) > CACHED:  # words still in use come back from the generation before
+            self.known, self.before = _Learning(self), self.known
         return b"".join(map(self.known.__getitem__, self.split(text)))
 
 
@@ -266,8 +266,11 @@ class _Learning(dict):
         self.own = own
 
     def __missing__(self, word: str | int) -> bytes:
-        own = [word] if isinstance(word, int) else self.own.native.encode_single_piece(word.encode())
-        found = self[word] = b"".join([self.own.id_bytes[i] for i in own])
+        found = dict.get(self.own.before, word)
+        if found is None:
+            own = [word] if isinstance(word, int) else self.own.native.encode_single_piece(word.encode())
+            found = b"".join([self.own.id_bytes[i] for i in own])
+        self[word] = found
         return found
 
 
@@ -277,7 +280,7 @@ _codecs: dict[str, PieceCodec] = {}
 def codec(path: str) -> PieceCodec:
     """The codec of a file, read once in each process."""
     if path not in _codecs:
-        _codecs[path] = PieceCodec(path)
+        _codecs[path] = PieceCodec(on_executor(path))
     return _codecs[path]
 
 
@@ -288,13 +291,14 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
     """
     from pyspark import TaskContext
 
+    shipped(docs.sparkSession, path)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "lot", "nth", *["ids"] * keep_ids]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = codec(path), int(end_id).to_bytes(4, "little")
         lot, seen, counts = TaskContext.get().partitionId() << 32, 0, np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[] for _ in names]
             if seen >= LOT:
                 lot, seen, counts = lot + 1, 0, np.zeros(capacity + 1, np.int64)
@@ -310,7 +314,6 @@ def token_pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACI
                     at, piece, seen = at + size, piece + 1, seen + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
-    bounded_batches(docs.sparkSession)
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, lot long, nth long" + ", ids binary" * keep_ids)
 
 
@@ -335,7 +338,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, keep
         t = held.value
         wide = int(t["last"].max(initial=0)) + 1
         keys = t["length"] * wide + t["first"]
-        for batch in batches:
+        for batch in sliced(batches):
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             k = np.searchsorted(keys, length * wide + rank, "right") - 1
             nth = rank - t["first"][k]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import bounded_batches, texts, utf8, written
+from tracery.llm.common import sliced, texts, utf8, written
 
 MINIMA, BANDS = 128, 32
 ROWS = MINIMA // BANDS
@@ -122,7 +122,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     rows = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, f, least = [], [], np.zeros((batch.num_rows, MINIMA), np.uint32)
             for k, data in enumerate(utf8(batch.column(1))):
                 own = shingles(data, words)
@@ -138,7 +138,6 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x) for x in (*marks.T, *signature.T)), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f0", "f1", *WORDS, "bands"])
 
-    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(run, f"doc_id long, n_shingles long, f0 long, f1 long, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>")
 
 
@@ -157,11 +156,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     rows = texts(docs).join(ids, "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [shingles(x, words).tobytes() for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["doc_id", "own"])
 
-    bounded_batches(docs.sparkSession)
     return rows.mapInArrow(run, "doc_id long, own binary")
 
 
@@ -176,7 +174,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))

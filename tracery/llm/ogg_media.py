@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracery.llm.common import bounded_batches, map_texts, texts
+from tracery.llm.common import map_texts, sliced, texts
 
 UNIT = 192
 RATE = 8000
@@ -208,11 +208,10 @@ def describe_media(stored: DataFrame) -> DataFrame:
     names = [c for c in stored.columns if c != "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [_described(x.as_buffer().to_pybytes()) for x in batch.column(batch.schema.get_field_index("media"))]
             made = [pa.array([row[k] for row in found], kinds[kind]) for k, (_, kind) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names] + made, names=[*names, *(f for f, _ in fields)])
 
-    bounded_batches(stored.sparkSession)
     kept = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in names)
     return stored.mapInArrow(run, f"{kept}, {RESULT}")

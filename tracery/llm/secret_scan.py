@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import bounded_batches, map_texts, texts, utf8
+from tracery.llm.common import map_texts, sliced, texts, utf8
 
 KINDS = ("assign", "access", "hex", "random")
 #: The patterns and least lengths of the contract.
@@ -75,7 +75,7 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * SYMBOLS * SYMBOLS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for data in utf8(batch.column(0)):
                 if data:
                     values = np.frombuffer(data, dtype=np.uint8)
@@ -89,7 +89,6 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], names=["pair", "n"])
 
-    bounded_batches(docs.sparkSession)
     counted = texts(docs).select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     found = np.zeros(2 * SYMBOLS * SYMBOLS)
     for row in counted.collect():  # at most as many rows as there are pairs
@@ -181,10 +180,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return "".join([*out, text[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = pa.array([clean(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([made if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
-    bounded_batches(docs.sparkSession)
     new = docs.mapInArrow(run, docs.schema)
     return new.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new

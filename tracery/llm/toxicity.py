@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import bounded_batches, map_texts, texts, training_fold, utf8
+from tracery.llm.common import map_texts, sliced, texts, training_fold, utf8
 
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
@@ -215,7 +215,7 @@ def _counted(sample: DataFrame, clean_weight: float) -> list[tuple[str, int, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = Counter(), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for y, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 found[y].update(stems(data.decode()))
         keys = list(found[0].keys() | found[1].keys())
@@ -227,7 +227,6 @@ def _counted(sample: DataFrame, clean_weight: float) -> list[tuple[str, int, int
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    bounded_batches(docs.sparkSession)
     sample, stands = _sample(docs, labels)
     sizes = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     n_toxic, n = sizes.get(1, 0), sizes.get(0, 0) + sizes.get(1, 0)
@@ -237,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     voters = Voters(mine(_counted(sample, clean_weight), bounded(n_toxic, n - n_toxic), clean_weight=clean_weight))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([voters.vote(x.decode()) for x in utf8(batch.column(1))], pa.list_(pa.int32()))], names=["y", "votes"])
 
     rows = sample.mapInArrow(run, "y int, votes array<int>").collect()  # TOXIC_ROWS + CLEAN_ROWS short lists at most

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import bounded_batches, utf8, written
+from tracery.llm.common import sliced, utf8, written
 
 SMALLEST_REVISIT = 100
 #: A package is closed when its archive has so many bytes; one page may exceed it.
@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches, PACKAGE_ROWS):
             rows = zip(*(batch.column(k).to_pylist() for k in (0, 1)), utf8(batch.column(2)), *(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True)
             for page_id, url, html, digest, refers_to, is_revisit in rows:
                 member = gzip.compress(warc_record(page_id, url, html, digest, refers_to, is_revisit), 1, mtime=0)
@@ -220,7 +220,6 @@ def write_archives(pages: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([package(held)], pa.binary())], names=["content"])
 
-    bounded_batches(pages.sparkSession, PACKAGE_ROWS)
     return written(with_revisits(pages).mapInArrow(run, "content binary"), "archives")
 
 
@@ -230,13 +229,12 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for content in batch.column(0):
                 view = memoryview(content.as_buffer())
                 found = list(read_records(lambda at, n, view=view: bytes(view[at : at + n]), len(view)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in zip(names, kinds, strict=False)], names=names)
 
-    bounded_batches(archives.sparkSession, PACKAGE_ROWS)
     return archives.select("content").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads)
 
 

@@ -1,5 +1,7 @@
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracery.llm import bpe_codec, common
 
@@ -47,3 +49,14 @@ def test_words_in_use_survive_a_full_cache(monkeypatch):
     own, fresh = (bpe_codec.Codec(public_tokenizers.path("word_bpe_49k.json")) for _ in range(2))
     data = [f"some common words and number {k} again" for k in range(20)]
     assert [own.encode_batch([t])[0] for t in data] == fresh.encode_batch(data)
+
+
+def test_a_filter_holds_all_its_keys_and_few_others(spark):
+    r = np.random.default_rng(3)
+    keys, others = (r.integers(-(2**63), 2**63, 5000) for _ in range(2))
+    own = common.Filter.of(spark.createDataFrame([(int(k),) for k in keys], "key long"), "key")
+    assert own.passes(keys).all() and own.passes(others).mean() < 0.02
+    frame = spark.createDataFrame([(int(k),) for k in others], "key long")
+    assert frame.where(own.column(spark, F.col("key"))).count() == own.passes(others).sum()
+    empty = common.Filter.of(frame.limit(0), "key")
+    assert not empty.passes(keys).any() and empty.passes(keys[:0]).shape == (0,)

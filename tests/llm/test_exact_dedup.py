@@ -45,6 +45,24 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.text) for r in x.drop_copies(docs).collect()) == [(False, 1, "sa me"), (False, 2, "x"), (True, None, "alone")]
     assert x.exact_dedup(docs).count() == len(rows)
     assert x.exact_dedup(docs.limit(0)).count() == 0
+    assert x.drop_copies(docs.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "a b", 7, 1, True, "x"), (2, "ab", 8, 2, False, None), (3, None, None, 3, None, "z"), (3, "", 9, 3, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __hash long, row_a int, stays boolean, c0 string")
+    found = x.drop_copies(docs)
+    assert found.columns == docs.columns
+    assert sorted((tuple(r) for r in found.collect()), key=str)[0] == (1, "a b", 7, 1, True, "x") and found.where("doc_id = 3").count() == 1 and found.count() == 2
+
+
+def test_a_hot_class_is_dealt_by_salt(spark, monkeypatch):
+    monkeypatch.setattr(x, "STREAM_ROWS", 20)
+    rows = [(i, " " * (i % 7) + "the same text") for i in range(900)] + [(1000 + i, f"text {i % 300}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in x.exact_dedup(docs).collect()}
+    assert found[5] == (6, 900) and found[1001] == (1001, 2) and found[1301] == (1001, 2)
+    assert sorted(r.doc_id for r in x.drop_copies(docs).collect()) == [6, *range(1000, 1300)]
 
 
 def test_colliding_fingerprints_are_split(spark, monkeypatch):

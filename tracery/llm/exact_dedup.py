@@ -6,9 +6,10 @@ arithmetic, ``h(ab) = h(a) * x^len(b) + h(b)``, so the chunks of a huge document
 product over all of them) and joined afterwards, in any grouping. Equal fingerprints are then compared chunk by chunk
 in a stream that holds one reference text at a time; classes that turn out to mix texts are split by SHA-256.
 
-Defined cases: a null text is empty; all empty and all-blank texts are equal to each other; a null doc_id sorts after
-every other; an empty table gives an empty result; other columns are ignored. Rows that repeat a doc_id with the same
-text are counted in ``group_size`` and get the same values, ``kept`` included; ``drop_copies`` leaves one of them.
+Defined cases: a null text is empty; all empty and all-blank texts are equal to each other; doc_id is an integer, and
+a null one sorts after every other; an empty table gives an empty result; other columns are ignored, whatever their
+names, and ``drop_copies`` hands them on. Rows that repeat a doc_id with the same text are counted in ``group_size``
+and get the same values, ``kept`` included; ``drop_copies`` leaves one of them.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import BLANKS, sliced, texts, utf8, written
+from tracery.llm.common import BLANKS, Filter, row_key, sliced, texts, utf8, without, written
 
 PRIME = 2**31 - 1
 POINTS = (1_103_515_245, 1_566_083_941, 2_027_808_485, 69_069 * 30_011)
@@ -30,8 +31,9 @@ POINTS = (1_103_515_245, 1_566_083_941, 2_027_808_485, 69_069 * 30_011)
 CHUNK = 4096
 #: Bytes compared at a time.
 STRIDE = 1 << 16
-#: Members of a class compared in one stream; larger classes are dealt to several, by salt.
-STREAM_ROWS = 2000
+#: Members of a class compared in one stream; classes that are larger, and larger than this share of all copies, are
+#: dealt to several streams by salt. There are at most 1 / HOT_SHARE of these.
+STREAM_ROWS, HOT_SHARE = 2000, 1e-4
 
 _powers = np.ones((CHUNK, len(POINTS)), dtype=np.int64)
 for _k in range(1, CHUNK):
@@ -87,27 +89,35 @@ def _keys(data: list[bytes]) -> dict[str, list]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, n_points, f0, f1, norm_bytes, text_sha256) of each row; narrow, whatever the texts' lengths."""
-    rows = texts(docs).select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    """(doc_id, row_a, row_b, n_points, f0, f1, norm_bytes, text_sha256) of each row; narrow, whatever the texts' lengths."""
+    plain = texts(docs)
+    a, b = row_key(plain["doc_id"], plain["text"])
+    rows = plain.select("doc_id", "text", a.alias("row_a"), b.alias("row_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data = [x.translate(None, BLANKS) for x in utf8(batch.column(1))]
             made = _keys(data) | {"text_sha256": [hashlib.sha256(x).hexdigest() for x in data]}
             points = pc.cast(pc.utf8_length(batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), points, *map(pa.array, made.values())], names=["doc_id", "row_hash", "n_points", *made])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), points, *map(pa.array, made.values())], names=["doc_id", "row_a", "row_b", "n_points", *made])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, row_hash long, n_points long, f0 long, f1 long, norm_bytes long, text_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {kind}, row_a long, row_b long, n_points long, f0 long, f1 long, norm_bytes long, text_sha256 string")
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(lot, f0, f1, norm_bytes, body) of each row: a hash of doc_id, and the UTF-8 without white space."""
+def keyed_texts(docs: DataFrame, repeated: Filter) -> DataFrame:
+    """(lot, f0, f1, norm_bytes, body) of the rows whose fingerprint may be among those repeated.
+
+    ``lot`` is a hash of doc_id, ``body`` the UTF-8 without white space. All other texts end here.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             data = [x.translate(None, BLANKS) for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _keys(data).values()), pa.array(data, pa.binary())], names=["lot", *CLASS, "body"])
+            keys = _keys(data)
+            found = pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, keys.values()), pa.array(data, pa.binary())], names=["lot", *CLASS, "body"])
+            yield found.filter(pa.array(held.value.passes(np.array(keys["f0"], dtype=np.int64))))
 
     return texts(docs).select(F.xxhash64("doc_id").alias("lot"), "text").mapInArrow(run, "lot long, f0 long, f1 long, norm_bytes long, body binary")
 
@@ -140,15 +150,19 @@ def _stream(by: list[str]):
 def mixed_classes(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """The fingerprint classes of two or more rows whose texts are not all equal; expected to be none.
 
-    ``repeated``: (f0, f1, norm_bytes, group_size). Members are dealt by class and salt, at most about STREAM_ROWS to
-    a stream, so that a class with a third of all rows is compared by many tasks; the salts' references meet in a
-    second stream.
+    ``repeated``: (f0, f1, norm_bytes, group_size). Texts are dealt by class and salt before they first move; the hot
+    classes, whose number is bounded, travel to all tasks with their numbers of salts. The salts' references, one for
+    each, meet in a second stream; the number of salts is at most the root of the class's size, so that neither stream
+    holds more than that of a very large one.
     """
-    salts = (F.col("group_size") / STREAM_ROWS).cast("long") + 1
+    total = repeated.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    size = F.col("group_size")
+    salts = F.least(F.floor(size / STREAM_ROWS) + 1, F.ceil(F.sqrt(size)))
+    hot = repeated.where(size > max(STREAM_ROWS, HOT_SHARE * total)).select(*CLASS, salts.cast("int").alias("salts"))
     members = (
-        keyed_texts(docs)
-        .join(repeated, CLASS)
-        .select(*CLASS, salts.cast("int").alias("salts"), F.pmod("lot", salts).alias("salt"), "body")
+        keyed_texts(docs, Filter.of(repeated, "f0"))
+        .join(F.broadcast(hot), CLASS, "left")
+        .select(*CLASS, F.coalesce("salts", F.lit(1)).alias("salts"), F.pmod("lot", F.coalesce("salts", F.lit(1))).alias("salt"), "body")
     )
     schema = "f0 long, f1 long, norm_bytes long, mixed boolean, body binary"
     first = members.repartition(*CLASS, "salt").sortWithinPartitions(*CLASS, "salt").mapInArrow(_stream([*CLASS, "salt"]), schema)
@@ -183,25 +197,20 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, text_sha256, and the text's code points and hash."""
+    """Per row: doc_id, keep_id, group_size, kept, text_sha256, and the text's code points and row key.
+
+    Sizes and best rows of the classes come from one aggregation of narrow rows, which starts in each task; classes
+    that mix texts, if there are any, are taken again by their SHA-256.
+    """
     rows = written(fingerprints(docs), "fingerprints")
-    repeated = written(rows.groupBy(*CLASS).agg(F.count("*").alias("group_size")).where("group_size > 1"), "repeated")
-    mixed = mixed_classes(docs, repeated).withColumn("is_mixed", F.lit(True))
-    split = F.when(F.col("is_mixed"), F.col("text_sha256")).otherwise(F.lit(""))
-    classes = (
-        rows.join(repeated.select(*CLASS), CLASS)
-        .join(mixed, CLASS, "left")
-        .select(*CLASS, split.alias("split"), "doc_id", "n_points")
-        .groupBy(*CLASS, "split")
-        .agg(
-            F.count("*").alias("group_size"),
-            F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rank"))).alias("best"),
-        )
-    )
-    classes = written(classes, "classes")
-    a, c = rows.alias("a"), classes.alias("c")
+    sizes = [F.count("*").alias("group_size"), F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rank"))).alias("best")]
+    repeated = written(rows.groupBy(*CLASS).agg(*sizes).where("group_size > 1"), "repeated")
+    mixed = written(mixed_classes(docs, repeated), "mixed")
+    apart = rows.join(mixed, CLASS, "left_semi").groupBy(*CLASS, F.col("text_sha256").alias("split")).agg(*sizes)
+    whole = repeated.join(mixed, CLASS, "left_anti").select(*CLASS, F.lit("").alias("split"), "group_size", "best")
+    a, c = rows.alias("a"), whole.unionByName(apart).alias("c")
     same = [F.col(f"a.{x}") == F.col(f"c.{x}") for x in CLASS]
-    same.append(F.col("c.split").isin("") | (F.col("c.split") == F.col("a.text_sha256")))
+    same.append((F.col("c.split") == "") | (F.col("c.split") == F.col("a.text_sha256")))
     keep = F.when(F.col("c.group_size").isNull(), F.col("a.doc_id")).otherwise(F.bitwise_not("c.best.rank"))
     return a.join(c, same, "left").select(
         F.col("a.doc_id").alias("doc_id"),
@@ -210,25 +219,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         (F.col("c.group_size").isNull() | (F.col("a.doc_id").eqNullSafe(keep) & (F.col("a.n_points") == F.col("c.best.n_points")))).alias("kept"),
         F.col("a.text_sha256").alias("text_sha256"),
         F.col("a.n_points").alias("n_points"),
-        F.col("a.row_hash").alias("row_hash"),
+        F.col("a.row_a").alias("row_a"),
+        F.col("a.row_b").alias("row_b"),
     )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and key, one.
-
-    Rows are looked up by id and a hash of their text among those that go, by one shuffle of the documents at any size:
-    what goes grows with the corpus, so it is never broadcast.
-    """
-    decided = exact_dedup(docs)
-    row = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("text_sha256").alias("__key"))
-    gone = written(row(decided.where(~F.col("kept"))).distinct(), "gone")
-    stay = decided.where("kept and group_size > 1")
-    again = stay.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.collect_set("row_hash").alias("rows")).where("n > 1")
-    again = written(row(again.select("doc_id", F.explode("rows").alias("row_hash"), "text_sha256")), "again")
-    left = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__row"))
-    left = left.join(gone.hint("merge"), match, "left_anti")
-    once = left.join(again, match, "left_anti").select(*docs.columns)
-    repeated = left.join(again, match).dropDuplicates(["__id", "__key"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat id and key, one."""
+    decided = written(exact_dedup(docs).where("group_size > 1").select("doc_id", "text_sha256", "kept", "row_a", "row_b"), "decided")
+    kept = decided.where("kept")
+    # of several rows with one id that are equal and as long, the least by its key stays, and one of those that repeat it
+    several = kept.groupBy("doc_id", "text_sha256").agg(F.min(F.struct("row_a", "row_b")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    several = written(several.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), "least"), "several")
+    other = kept.join(several, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("key"))).where(F.col("least") != F.struct("row_a", "row_b"))
+    gone = decided.where(~F.col("kept")).select("row_a", "row_b").unionByName(other.select("row_a", "row_b")).distinct()
+    return without(docs, written(gone, "gone"), written(several.select("least.row_a", "least.row_b").distinct(), "again"))

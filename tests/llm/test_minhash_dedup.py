@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracery.llm import minhash_dedup as m
 
@@ -88,10 +89,66 @@ def test_whole_table_by_brute_force(spark):
 
 
 def test_null_and_repeated_ids_and_empty_table(spark):
-    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, "other words stand here now")], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in m.near_duplicates(docs).collect()) == [(0, 4, False), (4, 4, True), (4, 4, True), (5, 5, True)]
-    assert m.near_duplicates(docs.limit(0)).count() == 0
-    assert m.drop_near_copies(docs).columns == docs.columns
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, "other words stand here now"), (None, "three lone words"), (None, None), (7, None)]
+    docs = spark.createDataFrame([(*r, k, k, None) for k, r in enumerate(rows)], "doc_id long, text string, __id int, row_a long, best string")
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in m.near_duplicates(docs).collect())
+    assert found == [(0, 0, 0, True), (0, 1, 0, True), (0, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (5, 1, 5, True), (7, 0, 7, True)]
+    assert m.near_duplicates(docs.limit(0)).count() == 0 and m.drop_near_copies(docs.limit(0)).count() == 0
+    kept = m.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(None, None), (None, "three lone words"), (4, "a b c d e f"), (5, "other words stand here now"), (7, None)} and kept.count() == 5
+
+
+def test_null_ids_alone_keep_one_of_each_group(spark):
+    base = " ".join(str(k) for k in range(200))
+    docs = spark.createDataFrame([(None, base), (None, base), (None, base + " more"), (None, "apart from all others")], "doc_id long, text string")
+    kept = [r.text for r in m.drop_near_copies(docs).collect()]
+    assert len(kept) == 2 and "apart from all others" in kept
+
+
+def test_the_threshold_itself_is_a_link(spark):
+    w = [str(k) for k in range(200)]
+    exact = [(1, " ".join(w[:93])), (2, " ".join([*w[:83], *(f"x{k}" for k in range(10))]))]  # 90 shingles, 80 of them shared: 80 of 100
+    below = [(11, " ".join(w[100:193])), (12, " ".join([*w[100:182], *(f"y{k}" for k in range(11))]))]  # 79 of 101
+    found = {r.doc_id: r.component_id for r in m.near_duplicates(spark.createDataFrame(exact + below, "doc_id long, text string"), 4).collect()}
+    assert found == {1: 1, 2: 1, 11: 11, 12: 12}
+
+
+def test_prefixes_of_linked_sets_meet():
+    r = np.random.default_rng(8)
+    counts = r.integers(2, 9, m.COUNTERS)
+    for _ in range(300):
+        n = int(r.integers(1, 60))
+        own = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        cut = int(r.integers(0, len(own) + 1))
+        other = np.unique(np.concatenate((own[:cut], r.integers(0, 2**63, int(r.integers(0, 15)), dtype=np.uint64))))
+        both = len(np.intersect1d(own, other))
+        if len(other) and m.linked(both, len(own), len(other), 80):
+            assert np.isin(m.prefix(own, counts, 80), m.prefix(other, counts, 80)).any()
+
+
+def test_near_misses_of_one_template_are_not_paired(spark):
+    r = random.Random(9)
+    template = [f"t{k}" for k in range(140)]
+    rows = [(i, " ".join([*template, *(f"{i}w{r.randrange(10**6)}" for _ in range(60))])) for i in range(5000)]  # similarity 0.53 to 0.55 of words
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    own = m.sketches(docs, 4)
+    node = own.select(F.monotonically_increasing_id().alias("node"), "*")
+    nodes = m.written(node, "test-nodes")
+    sets = m.written(m.sets_of(docs, nodes.select("node", "row_a", "row_b"), 4), "test-sets")
+    one = nodes.select(F.lit(0).alias("g"), "node", F.col("node").alias("component"), "n_shingles", *m.WORDS)
+    first = m.prefixes(sets, m.shingle_counts(sets), 80)
+    assert first.count() < 5000 and m.open_pairs(first.join(one, "node"), 80).count() < 50  # 12 497 500 pairs share the template
+    found = m.near_duplicates(docs, 4)
+    assert found.where("kept").count() == 5000
+
+
+def test_periodic_words_differ():
+    word, other = b"a", b"b"
+    for _ in range(14):
+        word, other = word + other, other + word  # the two halves of a Thue-Morse word: equal sums modulo 2^64
+    assert m.word_hashes(word)[0] != m.word_hashes(other)[0]
+    assert m.word_hashes(word + b" " + word)[0] == m.word_hashes(word)[0] and len(set(m.word_hashes(word + b" x " + other).tolist())) == 3
 
 
 @pytest.mark.parametrize("n", [63, 64, 65, 130])

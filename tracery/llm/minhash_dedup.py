@@ -8,20 +8,30 @@ Every link is confirmed on the full sets.
 
 No step emits the pairs of a group, and none gathers a group in one task:
 
-1. Documents with equal sets form a class; its smallest doc_id stands for it from here on.
-2. In each band's bucket, one member (the least by a hash of doc_id) is the pivot; the others are held against it, by
-   estimate and then by full sets. As buckets of one group differ, so do their pivots. Components follow.
-3. A bucket that still spans several components is settled exactly: members outside its largest component are held
-   against all documents of that component and each other, in blocks of bounded size over an inverted index, which
-   emit one link for each pair of components met.
-
-Defined cases: a null, empty or all-blank text has no shingles and links with nothing; a text of fewer words than a
-shingle is one shingle; a null doc_id takes its class's component; rows that repeat a doc_id are one node; an empty
-table gives an empty result; other columns are ignored.
+1. Documents with equal sets form a class, by the sets' sizes and a 128-bit BLAKE2 digest of the whole sets. Classes
+   are the nodes from here on; a class's set is made from one row of it.
+2. In each band's bucket, one class (the least by a hash) is the pivot; the others are held against it, by sizes and
+   bit counts and then by full sets. As buckets of one group differ, so do their pivots. Components follow.
+3. A bucket that still spans several components is settled exactly by prefixes: under any one order of shingles, two
+   sets of similarity p share one of the first n - ceil(p n) + 1 of each. The order is by rarity, as a fixed number of
+   counters over all these sets has it, so what many texts share (a boilerplate, a template) stands behind the
+   prefixes. Only classes that share a shingle there and lie in different components meet, in blocks of BLOCK, and
+   those that sizes and bit counts leave go on to their full sets.
+
+Step 3 is in proportion to the sets where rare shingles are rare. Where a shingle of many sets is among the rarest of
+them all, its blocks are compared with each other by sizes and bit counts (narrow rows), the one step whose work grows
+with the square of such a group; what it emits are the pairs that look linked and are not yet.
+
+Defined cases: a null, empty or all-blank text has no shingles and links with nothing, its own component; a text of
+fewer words than a shingle is one shingle; a row with a null doc_id takes its component's smallest id, null if all are
+null; rows that repeat a doc_id are nodes of their own; an empty table gives an empty result; other columns are
+ignored, whatever their names. ``drop_near_copies`` keeps the row with the smallest doc_id of each component, a null id
+only where there is no other, and one of rows that repeat id and text; rows without shingles all stay.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import sliced, texts, utf8, written
+from tracery.llm.common import Filter, discard, row_key, sliced, texts, utf8, without, written
 
 MINIMA, BANDS = 128, 32
 ROWS = MINIMA // BANDS
 CUT = 0.55
 BLOCK = 256
+#: Counters of shingles by which prefixes are ordered, and parts that a label's neighbours are dealt to.
+COUNTERS, PARTS = 1 << 20, 8
+#: Words of more bytes are hashed modulo a prime too: sums modulo 2^64 alone meet for some periodic words.
+LONG_WORD = 64
 #: Bytes of text whose words are hashed at once.
 PIECE = 1 << 22
 
@@ -46,6 +60,8 @@ _PLACE = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 _XOR = _random.integers(0, 2**32, MINIMA, dtype=np.uint32)
 _ODD = _random.integers(0, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _BAND = _random.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PRIME, _BASE = 2**31 - 1, 1_220_703_125
+_PRIME_POWERS = np.array([pow(_BASE, k, _PRIME) for k in range(4095, -1, -1)], dtype=np.uint64)
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -58,6 +74,15 @@ def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _prime_hash(values: np.ndarray) -> np.uint64:
+    """The polynomial of a word's bytes modulo 2^31 - 1, in chunks whose sums are exact."""
+    total = 0
+    for at in range(0, len(values), len(_PRIME_POWERS)):
+        part = values[at : at + len(_PRIME_POWERS)].astype(np.uint64) + np.uint64(1)
+        total = (total * pow(_BASE, len(part), _PRIME) + int((part * _PRIME_POWERS[len(_PRIME_POWERS) - len(part) :]).sum())) % _PRIME
+    return np.uint64(total)
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word, in order."""
     found, at = [], 0
@@ -74,7 +99,10 @@ def word_hashes(data: bytes) -> np.ndarray:
             offsets = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             place = np.arange(offsets[-1] + lengths[-1]) - np.repeat(offsets, lengths)
             powers = np.cumprod(np.full(int(lengths.max()), _STEP))
-            found.append(_mix(np.add.reduceat(_BYTE[values[inside]] * powers[place], offsets)))
+            hashed = np.add.reduceat(_BYTE[values[inside]] * powers[place], offsets)
+            for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+                hashed[k : k + 1] += _mix(_prime_hash(values[starts[k] : ends[k]])[None])
+            found.append(_mix(hashed))
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
@@ -117,9 +145,20 @@ def bands(least: np.ndarray) -> np.ndarray:
 WORDS = [f"s{k}" for k in range(MINIMA // 32)]
 
 
+CLASS = ["f0", "f1", "n_shingles"]
+
+
+def set_marks(own: np.ndarray) -> tuple[int, int]:
+    """A digest of a whole sorted set, as two longs."""
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, f0, f1, s0..s3, bands) of each row; f0 and f1 identify the set."""
-    rows = texts(docs)
+    """(doc_id, row_a, row_b, n_shingles, f0, f1, s0..s3, bands) of each row; n_shingles, f0 and f1 identify the set."""
+    plain = texts(docs)
+    a, b = row_key(plain["doc_id"], plain["text"])
+    rows = plain.select("doc_id", "text", a.alias("row_a"), b.alias("row_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -127,18 +166,18 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for k, data in enumerate(utf8(batch.column(1))):
                 own = shingles(data, words)
                 n.append(len(own))
-                f.append([int(_mix(own, seed).sum(dtype=np.uint64)) for seed in (1, 2)])
+                f.append(set_marks(own))
                 if len(own):
                     least[k] = minima(own)
             has = np.array(n, dtype=np.int64) > 0
-            marks = np.array(f, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            marks = np.array(f, dtype=np.int64).reshape(-1, 2)
             ends = np.concatenate(([0], np.cumsum(has * BANDS)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bands(least[has]).ravel()))
             signature = packed(least)
-            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x) for x in (*marks.T, *signature.T)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f0", "f1", *WORDS, "bands"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), *(pa.array(x) for x in (*marks.T, *signature.T)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_a", "row_b", "n_shingles", "f0", "f1", *WORDS, "bands"])
 
-    return rows.mapInArrow(run, f"doc_id long, n_shingles long, f0 long, f1 long, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id long, row_a long, row_b long, n_shingles long, f0 long, f1 long, {', '.join(f'{w} long' for w in WORDS)}, bands array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -151,27 +190,31 @@ def estimate(a: str, b: str) -> Column:
     return (1 - differ / MINIMA - 0.25) / 0.75
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, own) of the documents named: the sorted shingle hashes as bytes."""
-    rows = texts(docs).join(ids, "doc_id", "left_semi")
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, own) of the nodes (node, row_a, row_b): the sorted shingle hashes of their rows, as bytes.
+
+    Only rows that pass a filter of the keys are joined, so no other text is shuffled.
+    """
+    plain = texts(docs)
+    a, b = row_key(plain["doc_id"], plain["text"])
+    met = Filter.of(nodes, "row_a").column(docs.sparkSession, F.col("row_a"))
+    rows = plain.select("text", a.alias("row_a"), b.alias("row_b")).where(met).join(nodes, ["row_a", "row_b"]).dropDuplicates(["node"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             own = [shingles(x, words).tobytes() for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["doc_id", "own"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
 
-    return rows.mapInArrow(run, "doc_id long, own binary")
+    return rows.mapInArrow(run, "node long, own binary")
 
 
 def linked(common: int | np.ndarray, n: int | np.ndarray, m: int | np.ndarray, percent: int) -> bool | np.ndarray:
     return 100 * common >= percent * (n + m - common)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are linked."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    own = written(sets_of(docs, ids, words), "pair-sets")
-    both = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b")
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are linked; a pivot of many pairs is left to the joins' skew splitting."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -184,114 +227,169 @@ def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def confirmed_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """A written table of the pairs that are links; the sets made for it are removed."""
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = written(classes.select("node", "row_a", "row_b").join(ends, "node", "left_semi"), "nodes")
+    sets = written(sets_of(docs, nodes, words), "sets")
+    links = written(confirmed(sets, pairs, percent), "links")
+    discard(pairs, nodes, sets)
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, component) of every end of an edge: the smallest id reachable.
+    """(node, component) of every end of an edge: the smallest node reachable, as a written table.
 
     Rounds of least neighbouring labels and pointer jumping, each written to the shared folder; only a count of
-    changes comes to the driver.
+    changes comes to the driver. A node's label goes to its neighbours in PARTS parts, so that a node of very many
+    neighbours is not one task's.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.col("doc_id")).alias("component")), "labels")
+    part = F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int").alias("part")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct().select("a", "b", part), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    every = F.explode(F.array(*[F.lit(k) for k in range(PARTS)])).alias("part")
+    near, up = F.least("component", "near"), F.least("component", "up")
     while True:
-        seen = both.join(labels.select(F.col("doc_id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("c").alias("near"))
-        nearer = labels.join(seen, "doc_id").select("doc_id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        above = labels.select(F.col("doc_id").alias("component"), F.col("component").alias("up"))
-        labels = written(nearer.join(above, "component").select("doc_id", "old", F.least("component", "up").alias("component")), "labels")
-        if not labels.where("old <> component").limit(1).count():
-            return labels.select("doc_id", "component")
-        labels = labels.select("doc_id", "component")
-
-
-def unsettled(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(g, doc_id, component) of the documents outside the largest component g of a bucket, and of all to hold them against."""
-    m = members.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        there = labels.select(F.col("node").alias("b"), F.col("component").alias("c"), every)
+        seen = both.join(there, ["b", "part"]).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
+        nearer = labels.join(seen, "node").select("node", F.col("component").alias("old"), near.alias("component"))
+        above = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
+        new = written(nearer.join(above, "component").select("node", up.alias("component"), (up != F.col("old")).alias("moved")), "labels")
+        discard(labels)
+        labels = new
+        if not labels.where("moved").limit(1).count():
+            discard(both)
+            return labels.select("node", "component")
+
+
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, node, component) of the buckets that span several components, as a written table; g is a bucket's largest one.
+
+    Under g stand the classes of its buckets that lie outside of g, and all classes of g.
+    """
+    m = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     m = written(m, "members")
     counts = m.groupBy("key", "component").agg(F.count("*").alias("n"))
     most = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("g"))
-    out = written(m.join(most, "key").where("component <> g").select("g", "doc_id", "component").distinct(), "outside")
-    inside = m.join(out.select(F.col("g").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("g"), "doc_id", "component").distinct()
-    against = inside.unionByName(out)
-    sizes = against.groupBy("g").agg(F.count("*").alias("n")).where("n > 2").select("g")  # two alone have met as pivot and member
-    return out.join(sizes, "g", "left_semi"), written(against.join(sizes, "g", "left_semi"), "against")
-
-
-def _meet(percent: int):
-    """One link for each left document and component of the right ones that it is linked with."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.is_left].reset_index(drop=True), rows[~rows.is_left].reset_index(drop=True)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in left.own]
-        out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            met = set()
-            for b, component, own in zip(right.doc_id, right.component, right.own, strict=True):
-                s = np.frombuffer(own, dtype=np.uint64)
-                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-                n = hi - lo
-                hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                common = np.bincount(owner[hits], minlength=len(sets))
-                for k in np.flatnonzero(linked(common, sizes, len(s), percent)).tolist():
-                    if left.component[k] != component and (k, component) not in met:
-                        met.add((k, component))
-                        out.append((int(left.doc_id[k]), int(b)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return run
-
-
-def settled(docs: DataFrame, left: DataFrame, right: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links (a, b) between the documents of ``left`` and those of ``right``, by g, in blocks of bounded size."""
-    own = written(sets_of(docs, right.select("doc_id").distinct(), words), "block-sets")
-    blocks = lambda df, name: df.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias(name))
-    n = written(blocks(left, "n_left").join(blocks(right, "n_right"), "g"), "blocks")
-    place = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    dealt = left.join(n, "g").select("g", "doc_id", "component", F.lit(True).alias("is_left"), place("n_left").alias("i"), every("n_right").alias("j"))
-    dealt = dealt.unionByName(right.join(n, "g").select("g", "doc_id", "component", F.lit(False).alias("is_left"), place("n_right").alias("j"), every("n_left").alias("i")))
-    return dealt.join(own, "doc_id").groupBy("g", "i", "j").applyInPandas(_meet(percent), "a long, b long")
+    out = written(m.join(most, "key").where("component <> g").select("g", "node", "component").distinct(), "outside")
+    inside = m.join(out.select(F.col("g").alias("component")).distinct(), "component", "left_semi").select(F.col("component").alias("g"), "node", "component").distinct()
+    every = inside.unionByName(out)
+    sizes = every.groupBy("g").agg(F.count("*").alias("n")).where("n > 2").select("g")  # two alone have met as pivot and member
+    found = written(every.join(sizes, "g", "left_semi"), "unsettled")
+    discard(m, out)
+    return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall on each of COUNTERS counters; rarity enough for an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in sliced(batches):
+            every = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(0)])
+            total += np.bincount((every % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        where = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], names=["k", "n"])
+
+    found = sets.select("own").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found.column("k").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def prefix(own: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set of which any set linked with it shares one; none that it alone holds."""
+    often = counts[(own % np.uint64(COUNTERS)).astype(np.int64)]
+    n = len(own) - -(-percent * len(own) // 100) + 1
+    first = np.lexsort((own, often))[:n]
+    return own[first[often[first] > 1]]
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(node, shingle) of each set's prefix."""
+    held = sets.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [prefix(np.frombuffer(x.as_buffer(), dtype=np.uint64), held.value, percent).view(np.int64) for x in batch.column(1)]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))], names=["node", "prefix"])
+
+    return sets.mapInArrow(run, "node long, prefix array<long>").select("node", F.explode("prefix").alias("shingle"))
+
+
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and bit counts leave it open that the two are linked."""
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (estimate(a, b) >= CUT)
+
+
+def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of two components that share a prefix shingle and look alike.
+
+    rows: (g, shingle, node, component, n_shingles, s0..s3). A shingle of one component is dropped before anything is
+    paired; one of many classes is dealt to pairs of blocks.
+    """
+    key = ["g", "shingle"]
+    contested = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    blocks = contested.select(*key, F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    held = written(rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "contested")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x, y = held.withColumn("i", F.col("block")).withColumn("j", every).alias("x"), held.withColumn("j", F.col("block")).withColumn("i", every).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*key, "i", "j")]
+    open_ = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & alike("x", "y", percent)
+    return x.join(y, [*same, open_]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def settled(docs: DataFrame, classes: DataFrame, unsettled: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links between components that buckets leave, found by prefixes and confirmed on full sets: a written table."""
+    nodes = written(classes.join(unsettled.select("node").distinct(), "node", "left_semi").select("node", "row_a", "row_b", "n_shingles", *WORDS), "open-nodes")
+    sets = written(sets_of(docs, nodes.select("node", "row_a", "row_b"), words), "open-sets")
+    first = prefixes(sets, shingle_counts(sets), percent)
+    rows = first.join(unsettled, "node").join(nodes.drop("row_a", "row_b"), "node")
+    pairs = written(open_pairs(rows, percent), "open-pairs")
+    links = written(confirmed(sets, pairs, percent), "more-links")
+    discard(nodes, sets, pairs)
+    return links
+
+
+def decided(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row: doc_id, row_a, row_b, n_shingles, and the best row of its component (no_id, doc_id, row_a, row_b); null
+    where that is the row itself, as it is alone."""
     rows = written(sketches(docs, words), "sketches")
-    classes = rows.where("n_shingles > 0").groupBy("f0", "f1", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    classes = written(classes, "classes")
-    own = rows.join(classes, ["f0", "f1", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = own.where("n_shingles > 0 and doc_id = rep").select("doc_id", "n_shingles", *WORDS, "bands")
-
-    keyed = reps.select(F.explode("bands").alias("key"), "doc_id")
-    first = F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("key", F.col("first.doc_id").alias("pivot"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b")).alias("least")
+    same = rows.where("n_shingles > 0").groupBy(*CLASS).agg(F.count("*").alias("rows"), least, *[F.any_value(c).alias(c) for c in (*WORDS, "bands")])
+    classes = written(same.select(F.monotonically_increasing_id().alias("node"), "*", "least.row_a", "least.row_b"), "classes")
+
+    keyed = classes.select(F.explode("bands").alias("key"), "node")
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("key", F.col("first.node").alias("pivot"))
     members = written(keyed.join(written(buckets, "buckets"), "key"), "bucket-members")
 
-    signed = reps.drop("bands")
-    pairs = members.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    alike = (
-        pairs.join(signed.alias("x"), F.col("a") == F.col("x.doc_id"))
-        .join(signed.alias("y"), F.col("b") == F.col("y.doc_id"))
-        .where(100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles"))
-        .where(estimate("x", "y") >= CUT)
-        .select("a", "b")
-        .distinct()
-    )
-    links = written(confirmed(docs, written(alike, "pairs"), words, percent), "links")
-    labels = components(links)
-    left, right = unsettled(members, labels)
-    more = written(settled(docs, left, right, words, percent), "more-links")
+    signed = classes.select("node", "n_shingles", *WORDS)
+    pairs = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = pairs.join(signed.alias("x"), F.col("a") == F.col("x.node")).join(signed.alias("y"), F.col("b") == F.col("y.node")).where(alike("x", "y", percent)).select("a", "b")
+    labels = components(confirmed_links(docs, classes, near, words, percent))
+    more = settled(docs, classes, unsettled(members, labels), words, percent)
     if more.limit(1).count():
-        labels = components(labels.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
-    return (
-        own.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
-        .withColumn("component_id", F.coalesce("component", "rep"))
-        .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+        labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))
+
+    known = classes.select("node", *CLASS, "rows", "least").join(labels, "node", "left")
+    best = known.where("component is not null").groupBy("component").agg(F.min("least").alias("best"))
+    several = known.where("rows > 1 or component is not null").join(best, "component", "left").select(*CLASS, F.coalesce("best", "least").alias("best"))
+    return rows.drop("bands", *WORDS).join(written(several, "several"), CLASS, "left").drop("f0", "f1")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+    component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return decided(docs, words, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with all its columns."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(written(gone, "gone"), F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay: one of each component, with all its columns."""
+    rows = written(decided(docs, words, percent).where("best is not null").select("row_a", "row_b", ((F.col("row_a") == F.col("best.row_a")) & (F.col("row_b") == F.col("best.row_b"))).alias("is_best")), "decided")
+    gone = rows.where("not is_best").select("row_a", "row_b").distinct()
+    again = rows.where("is_best").groupBy("row_a", "row_b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return without(docs, written(gone, "gone"), written(again, "again"))

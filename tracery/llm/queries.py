@@ -73,6 +73,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_minhash_dedup": r"""
+WITH RECURSIVE
+     t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+     w AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM t WHERE len(words) >= 4),
+     g AS (SELECT doc_id, n_words, place, concat_ws(' ', word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p) AS shingle FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY place)),
+     s AS (SELECT DISTINCT doc_id, shingle FROM g WHERE place <= n_words - 3
+           UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM t WHERE len(words) BETWEEN 1 AND 3),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+     c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+     u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r(doc_id, met) AS (SELECT doc_id, doc_id FROM t UNION SELECT r.doc_id, u.b FROM r JOIN u ON r.met = u.a),
+     m AS (SELECT doc_id, min(met) AS component_id FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
         "op8_zip_warc": """
 WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      k AS (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first_id FROM t)

@@ -1,18 +1,23 @@
 """Language-model scoring: a gated recurrent network in numpy with a class-factored output.
 
 Tokens are words, lower-cased for A-Z, and one end a text. All training texts are counted: the HEAD most frequent
-tokens are the network's vocabulary, the others form one further class, within which a token has its smoothed share of
-the corpus counts. So ``score`` is a normalised log-probability of the whole text, and counts of every token matter.
+tokens are the network's vocabulary, and all others form ENDINGS further classes by their last two bytes, the endings
+that most of them have and one class for the rest. Within such a class a token has its smoothed share of the corpus
+counts, one more type standing for all that were never seen. So ``score`` is a log-probability of the whole text in
+which counts of every token matter (normalised but for that last type, which each unseen token is taken to be).
 
-The network: a gated recurrent unit over embeddings, an output softmax over classes of tokens (by frequency, of equal
-mass) and one within each class. It is trained by truncated backpropagation: texts run side by side in lanes, windows
+The network: a gated recurrent unit over embeddings, an output softmax over classes of tokens (the head's by frequency,
+of equal mass) and one within each class of the head. It is trained by truncated backpropagation: texts run side by side in lanes, windows
 of WINDOW tokens follow each other, the state is carried from window to window and reset where a text starts, and
 gradients stay within their window. All training texts pass through it whole, and the loss is taken on every token.
-Training is data-parallel: from a start made on a bounded sample (WARM tokens), each shard of texts trains its
-own copy, and the copies' mean, weighted by the tokens learnt from, is the model. Scoring carries the state through whole texts too.
+Training is data-parallel: every partition of texts trains its own copy, and the copies' mean, weighted by the tokens
+learnt from, is the model; so the scores depend a little on how the table is partitioned. Copies that begin apart have
+no useful mean, so all begin at a network that the driver fits to a bounded sample (WARM_TEXTS whole texts); it is where
+training starts, not what is scored with. Scoring carries the state through whole texts too.
 
-The counts of the COUNTED most frequent tokens of at most LONG bytes travel to all tasks, a bounded table; all other
-tokens' counts never come together anywhere, but are joined with the texts that hold them by a shuffle.
+The counts of the most frequent tokens of at most LONG bytes, COUNTED at most, travel to all tasks, a bounded table;
+the least count listed is found from a histogram of counts. All other tokens' counts never come together anywhere, but
+are joined, by the tokens themselves, with the texts that hold them.
 
 Defined cases: a null or empty text is its end token; without any training text all counts are 0, and the network is
 its random start; a null doc_id hashes as the empty text; repeated rows are scored each and counted each; extra columns
@@ -33,13 +38,16 @@ from pyspark.sql import functions as F
 from tracery.llm.common import sliced, texts, training_fold, utf8, written
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, CLASSES = 2000, 44
+HEAD, CLASSES, ENDINGS = 500, 14, 64
 COUNTED, LONG = 300_000, 64
 SIZE = 16
 LANES, WARM_LANES, WINDOW = 512, 128, 16
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 256, 64, 3_000_000
-RATE, CLIP = 0.02, 5.0
-WARM, WARM_TEXTS, PASSES = 120_000, 1000, 3
+RATE, CLIP = 0.06, 5.0
+#: The start's sample: whole training texts of at most so many bytes, those of least hash, and the passes over it.
+WARM_TEXTS, WARM_BYTES, PASSES = 400, 1 << 14, 3
+#: Counts up to this one are told apart when the least listed count is looked for; larger ones to a 64th.
+EXACT = 1024
 #: Distinct tokens that a task counts before it passes them on.
 HELD_TOKENS = 600_000
 END = b""  # no word is empty
@@ -51,23 +59,43 @@ Params = dict[str, np.ndarray]
 
 
 class Vocabulary:
-    """The COUNTED tokens by rank, the most frequent first; the first HEAD are the network's, in classes."""
+    """The listed tokens by rank, the most frequent first; the first HEAD are the network's, in classes, and the classes
+    of all others follow them as one type each.
 
-    def __init__(self, counted: list[tuple[bytes, int]], total: int, distinct: int):
+    ``endings``: (the last two bytes, tokens, types) over all tokens.
+    """
+
+    def __init__(self, counted: list[tuple[bytes, int]], total: int, distinct: int, endings: list[tuple[bytes, int, int]]):
         self.total, self.distinct = total, distinct
         self.rank = {t: k for k, (t, _) in enumerate(counted)}
         self.counts = np.array([c for _, c in counted], dtype=np.int64)
         self.size = min(HEAD, len(counted))
-        self.tail_tokens = total - int(self.counts[: self.size].sum())
-        self.tail_types = distinct - self.size
-        # classes of about equal mass in order of frequency; the last class is all other tokens
+        # classes of about equal mass in order of frequency
         mass = np.cumsum(np.sqrt(self.counts[: self.size].astype(float)))
-        own = np.minimum((mass / max(1.0, mass[-1] if self.size else 1.0) * (CLASSES - 1)).astype(np.int64), CLASSES - 2)
-        self.class_of = np.append(np.unique(own, return_inverse=True)[1], 0).astype(np.int64)
-        self.n_classes = int(self.class_of[:-1].max(initial=-1)) + 2
-        self.class_of[-1] = self.n_classes - 1
-        sizes = np.bincount(self.class_of[:-1], minlength=self.n_classes)
-        self.first = np.concatenate(([0], np.cumsum(sizes)))  # ids of a class follow each other
+        own = np.minimum((mass / max(1.0, mass[-1] if self.size else 1.0) * CLASSES).astype(np.int64), CLASSES - 1)
+        own = np.unique(own, return_inverse=True)[1].astype(np.int64)
+        self.n_inner = int(own.max(initial=-1)) + 1
+        # what the head leaves, by ending; the last class is that of all other endings
+        left = {e: [n, k] for e, n, k in endings}
+        for t, n in counted[: self.size]:
+            left[t[-2:]][0] -= n
+            left[t[-2:]][1] -= 1
+        kept = sorted((e for e in left if left[e][0]), key=lambda e: (-left[e][0], e))[: ENDINGS - 1]
+        self.ending = {e: k for k, e in enumerate(kept)}
+        self.n_tail = len(kept) + 1
+        tail = np.zeros((self.n_tail, 2), np.int64)
+        for e, x in left.items():
+            tail[self.ending.get(e, self.n_tail - 1)] += x
+        self.tail_tokens, self.tail_types = tail.T
+        self.class_of = np.concatenate([own, self.n_inner + np.arange(self.n_tail)])
+        self.n_classes = self.n_inner + self.n_tail
+        self.types = self.size + self.n_tail
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(self.class_of, minlength=self.n_classes))))  # ids of a class follow each other
+        # by rank: the network's id; rank -1 is taken by ending, in ``ids``
+        self.id_of = np.array([*range(self.size), *(self.tail_id(t) for t, _ in counted[self.size :]), 0], dtype=np.int32)
+
+    def tail_id(self, token: bytes) -> int:
+        return self.size + self.ending.get(token[-2:], self.n_tail - 1)
 
     def ranks(self, data: bytes) -> tuple[list[bytes], np.ndarray]:
         """The tokens of a text, the end last, and their ranks; -1 for tokens that are not in the table."""
@@ -75,16 +103,19 @@ class Vocabulary:
         words.append(END)
         return words, np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
-    def ids(self, ranks: np.ndarray) -> np.ndarray:
-        """The network's ids: ``size`` for all tokens outside the head."""
-        return np.where((ranks < 0) | (ranks >= self.size), self.size, ranks)
+    def ids(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
+        """The network's ids of tokens."""
+        own = self.id_of[ranks]
+        for k in np.flatnonzero(ranks < 0).tolist():
+            own[k] = self.tail_id(words[k])
+        return own
 
     def base_unit(self) -> float:
         return float(np.log10(self.total + self.distinct + 1.0))
 
-    def tail_unit(self) -> float:
-        """log10 of what counts + 1 are divided by outside the head; one more type stands for all never seen."""
-        return float(np.log10(self.tail_tokens + self.tail_types + 1.0))
+    def tail_units(self) -> np.ndarray:
+        """By id: log10 of what counts + 1 are divided by outside the head, 0 in it; one more type for all never seen."""
+        return np.concatenate([np.zeros(self.size), np.log10(self.tail_tokens + self.tail_types + 1.0)])
 
 
 # --- the network
@@ -93,9 +124,9 @@ class Vocabulary:
 def start(vocabulary: Vocabulary) -> Params:
     """Small random weights; output biases are the log counts."""
     r = np.random.Generator(np.random.PCG64(11))
-    v, h, c = vocabulary.size + 1, SIZE, vocabulary.n_classes
+    v, h, c = vocabulary.types, SIZE, vocabulary.n_classes
     draw = lambda *shape: r.normal(0, 1 / np.sqrt(h), shape).astype(np.float32)
-    counts = np.append(vocabulary.counts[: vocabulary.size], max(1, vocabulary.tail_tokens)).astype(np.float64)
+    counts = np.concatenate([vocabulary.counts[: vocabulary.size], np.maximum(1, vocabulary.tail_tokens)]).astype(np.float64)
     mass = np.bincount(vocabulary.class_of, counts, minlength=c)
     return {
         "embed": draw(v + 1, h) * 0.5,  # the last row opens a text
@@ -136,7 +167,7 @@ def advance(p: Params, table: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h:
 
 
 def log_probabilities(p: Params, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """ln P(target | state) of each row, but for the share within the last class; with ``grads``, d loss / d states."""
+    """ln P(target | state) of each row, but for the share within a class of endings; with ``grads``, d loss / d states."""
     logits = states @ p["wc"] + p["bc"]
     e = np.exp(np.minimum(logits, 60, out=logits))
     total = e.sum(axis=1, keepdims=True)
@@ -154,7 +185,7 @@ def log_probabilities(p: Params, v: Vocabulary, states: np.ndarray, targets: np.
     sorted_states, sorted_targets = states[order], targets[order]
     ends = np.searchsorted(own[order], np.arange(v.n_classes))
     inner_logs, inner_back = np.zeros(len(targets), out.dtype), np.zeros_like(states) if grads is not None else None
-    for c in range(v.n_classes - 1):  # the last class has no network within
+    for c in range(v.n_inner):  # the others have no network within
         at = slice(ends[c], ends[c + 1])
         if at.start == at.stop:
             continue
@@ -259,7 +290,7 @@ class Trainer:
     def __init__(self, p: Params, v: Vocabulary, rate: float, lanes: int, squares: Params | None = None):
         self.p, self.v, self.rate, self.full = {k: a.copy() for k, a in p.items()}, v, rate, lanes * WINDOW
         self.squares = {k: a.copy() for k, a in squares.items()} if squares else {k: np.full_like(a, 0.05) for k, a in p.items()}
-        self.lanes, self.table = Lanes(v.size + 1, lanes), inputs_table(p)
+        self.lanes, self.table = Lanes(v.types, lanes), inputs_table(p)
         self.h = np.zeros((lanes, SIZE), np.float32)
         self.waiting: list[tuple] = []
         self.places, self.seen, self.loss, self.losses = 0, 0, 0.0, 0
@@ -306,7 +337,7 @@ class Trainer:
 
 def score_texts(p: Params, v: Vocabulary, data: list[np.ndarray]) -> np.ndarray:
     """The network's part of the log10 probability of each text (ids), state carried through it whole."""
-    lanes = Lanes(v.size + 1, min(SCORE_LANES, max(1, len(data))), SCORE_WINDOW)
+    lanes = Lanes(v.types, min(SCORE_LANES, max(1, len(data))), SCORE_WINDOW)
     for k in sorted(range(len(data)), key=lambda k: -len(data[k])):  # the longest first, so that lanes end together
         lanes.put(data[k], k)
     total, table = np.zeros(len(data)), inputs_table(p)
@@ -346,20 +377,19 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def train_network(train: DataFrame, v: Vocabulary) -> Params:
+def train_network(train: DataFrame, v: Vocabulary, n_texts: int) -> Params:
     """The mean of the shards' networks, each trained from the same warm start."""
     first = start(v)
     if not v.total:
         return first
     warm = Trainer(first, v, RATE * 2, WARM_LANES)
-    room, sample = WARM, []
-    rows = train.select("doc_id", F.substring("text", 1, 20 * WARM).alias("text"))  # more than WARM tokens are never used
-    for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_TEXTS).toLocalIterator():
-        own = v.ids(v.ranks(row.text.encode())[1])[:room]
-        sample.append(own)
-        room -= len(own)
-        if room <= 0:
-            break
+    # a share of the rows by hash first, so that no task orders more than a few times the sample
+    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(max(1, n_texts // (4 * WARM_TEXTS)))) == 0
+    rows = train.where(share & (F.octet_length("text") <= WARM_BYTES)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(WARM_TEXTS)
+    sample = []
+    for row in rows.select("text").collect():  # WARM_TEXTS * WARM_BYTES at most
+        words, ranks = v.ranks(row.text.encode())
+        sample.append(v.ids(words, ranks))
     for _ in range(PASSES):
         for own in sample:
             warm.read(own)
@@ -372,7 +402,7 @@ def train_network(train: DataFrame, v: Vocabulary) -> Params:
         own = Trainer(p, vocabulary, RATE, LANES, squares)
         for batch in sliced(batches):
             for data in utf8(batch.column(0)):
-                own.read(vocabulary.ids(vocabulary.ranks(data)[1]))
+                own.read(vocabulary.ids(*vocabulary.ranks(data)))
         own.run(True)
         if own.seen:
             flat = np.append(np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * own.seen, own.seen)
@@ -389,24 +419,39 @@ def train_network(train: DataFrame, v: Vocabulary) -> Params:
 
 
 class Model:
-    """The vocabulary, the network, and the counts of the tokens that the vocabulary's table lacks, by hash."""
+    """The vocabulary, the network, and the counts (token, n) of the tokens that the vocabulary's table lacks."""
 
     def __init__(self, vocabulary: Vocabulary, params: Params, others: DataFrame):
         self.vocabulary, self.params, self.others = vocabulary, params, others
 
 
+def least_listed(counts: DataFrame) -> int:
+    """The least count of which, and of all above it, there are at most COUNTED tokens (token, n) of at most LONG bytes."""
+    exponent = F.floor(F.log2("n"))
+    coarse = (F.pow(F.lit(2.0), exponent) * (1 + F.floor((F.col("n") / F.pow(F.lit(2.0), exponent) - 1) * 64) / 64)).cast("long")
+    at = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(coarse)
+    rows = counts.where(F.octet_length("token") <= LONG).groupBy(at.alias("n")).agg(F.count("*").alias("tokens")).collect()  # EXACT + 64 a doubling
+    listed, least = 0, 0
+    for row in sorted(rows, key=lambda r: -r.n):
+        listed += row.tokens
+        if listed > COUNTED:
+            break
+        least = row.n
+    return least or 1 << 62  # none is listed
+
+
 def fit(docs: DataFrame) -> Model:
     """Counts and network of the training fold of ``docs``."""
     train = texts(docs).where(training_fold("doc_id", FOLDS) != HELD_OUT)
     counts = written(token_counts(train), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    short = F.octet_length("token") <= LONG
-    table = counts.where(short).orderBy(F.desc("n"), "token").limit(COUNTED).toArrow().sort_by([("n", "descending"), ("token", "ascending")])
-    counted = list(zip(table.column("token").to_pylist(), table.column("n").to_pylist(), strict=True))
-    last, least = counted[-1] if counted else (b"", 0)
-    others = counts.where(~short | (F.col("n") < least) | ((F.col("n") == least) & (F.col("token") > F.lit(last)))).select(F.xxhash64("token").alias("token"), "n")
-    vocabulary = Vocabulary(counted, total, distinct)
-    return Model(vocabulary, train_network(train, vocabulary), others)
+    listed = (F.octet_length("token") <= LONG) & (F.col("n") >= least_listed(counts))
+    table = counts.where(listed).toArrow()  # COUNTED rows at most
+    counted = sorted(zip(table.column("token").to_pylist(), table.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    endings = counts.groupBy(F.expr("substring(token, -2)").alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # 2^16 rows at most
+    vocabulary = Vocabulary(counted, total, distinct, [(bytes(r.ending), r.n, r.types) for r in endings])
+    n_texts = dict(counted).get(END, 0)  # every text ends once
+    return Model(vocabulary, train_network(train, vocabulary, n_texts), counts.where(~listed))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -414,13 +459,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     v = model.vocabulary
     held = docs.sparkSession.sparkContext.broadcast((model.params, v))
     rows = texts(docs).select("doc_id", (training_fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text")
-    names = ["doc_id", "held_out", "n_tokens", "n_listed", "net", "listed_logs", "tail_logs", "n_tail", "rare"]
+    names = ["doc_id", "held_out", "n_tokens", "n_listed", "net", "listed_logs", "tail_logs", "rare"]
     pair = pa.struct([("token", pa.binary()), ("times", pa.int32())])
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pair)]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pair)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, v = held.value
         logs = np.append(np.log10(v.counts + 1.0), 0.0)  # rank -1, the tokens that are not listed, is last
+        units = v.tail_units()
         waiting: list[tuple] = []
         ids: list[np.ndarray] = []
         size = 0
@@ -433,12 +479,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in sliced(batches):
             for doc_id, held_out, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 words, ranks = v.ranks(data)
-                own = v.ids(ranks)
+                own = v.ids(words, ranks)
                 missing = np.flatnonzero(ranks < 0)
                 rare = Counter([words[k] for k in missing.tolist()])
-                of, tail = logs[ranks], own == v.size
-                waiting.append((doc_id, held_out, len(words), len(words) - len(missing), float(of.sum()), float(of[tail].sum()), int(tail.sum()), list(rare.items())))
-                ids.append(own.astype(np.int32))
+                of = logs[ranks]
+                waiting.append((doc_id, held_out, len(words), len(words) - len(missing), float(of.sum()), float(of[own >= v.size].sum() - units[own].sum()), list(rare.items())))
+                ids.append(own)
                 size += len(words)
             if size > SCORE_TOKENS:
                 yield flush()
@@ -446,9 +492,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if waiting:
             yield flush()
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_listed long, net double, listed_logs double, tail_logs double, n_tail long, rare array<struct<token:binary,times:int>>"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_listed long, net double, listed_logs double, tail_logs double, rare array<struct<token:binary,times:int>>"
     scored = written(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("t")).select("row", F.xxhash64("t.token").alias("token"), "t.times")
+    rare = scored.select("row", F.explode("rare").alias("t")).select("row", "t.token", "t.times")
     sums = (
         rare.join(model.others, "token")  # tokens never seen add log10(0 + 1) = 0
         .groupBy("row")
@@ -462,7 +508,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         (F.col("n_listed") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(int(v.total)).cast("long").alias("train_tokens"),
         (F.col("listed_logs") + logs - F.col("n_tokens") * v.base_unit()).alias("base_score"),
-        (F.col("net") + F.col("tail_logs") + logs - F.col("n_tail") * v.tail_unit()).alias("score"),
+        (F.col("net") + F.col("tail_logs") + logs).alias("score"),
     )
 
 

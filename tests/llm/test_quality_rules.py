@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.llm._plain import quality_score, quality_statistics
 from tracery.llm import quality_rules as q
 
 SF = "/root/testdata/sf0.01"
@@ -64,3 +65,19 @@ def test_the_worst_line_is_found_wherever_it_stands():
             assert q.statistics("\n".join(lines).encode())[own] == 0.75
     assert q.statistics(b"\n\nab|d\n \n")[own] == 0.25
     assert q.statistics(b"no marks\nat all")[own] == 0
+
+
+def test_the_query_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    own = sorted({(r.doc_id, r.quality) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in text})
+    x, y = np.array([quality_statistics(text[i]) for i, _ in own]), np.array([float(v) for _, v in own])
+    assert np.allclose([q.statistics(text[i].encode()) for i, _ in own], x, atol=1e-12) and len(own) < q.SAMPLE
+    model = q.RuleModel.fit(x, y)
+    found = q.classify(docs, labels).collect()
+    assert len(found) == len(text)
+    near = [abs(r.score - quality_score(model, text[r.doc_id])) for r in found]
+    assert np.mean(np.array(near) < 1e-3) > 0.99  # a rule's cut may fall the other way by the rows' order
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found)
+    spark_model = q.train(docs, labels)
+    assert max(abs(r.score - quality_score(spark_model, text[r.doc_id])) for r in found) < 1e-9

@@ -1,7 +1,10 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
+from tests.llm._plain import toxic_score, toxic_votes
 from tracery.llm import toxicity as t
 
 SF = "/root/testdata/sf0.1"
@@ -60,3 +63,36 @@ def test_a_capped_class_weighs_as_all_its_labels(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
     own = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
     assert abs(t.train(docs, labels).label_model.balance - np.mean([i % 10 == 0 for i in own])) < 1e-9
+
+
+def test_the_query_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    own = [(r.doc_id, r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.toxic is not None and r.doc_id in text]
+    counts = Counter(), Counter()
+    for i, y in own:
+        counts[y].update(t.stems(text[i]))
+    balance = min(0.98, max(0.02, sum(y for _, y in own) / len(own)))
+    mined = t.mine([(s, n, counts[0][s]) for s, n in counts[1].items() if n >= t.LEAST_DOCS], balance)
+    votes = np.array([toxic_votes(t, mined, text[i]) for i, _ in sorted(own, key=lambda x: x[1])], dtype=float)
+    y = np.array(sorted(y for _, y in own))
+    guess = np.clip((votes[y == 1].sum(0) + 1.6) / (votes.sum(0) + 2.0), 0.02, 0.98)
+    weights = t.fit_linear(t.features(votes), t.LabelModel(votes, balance, guess).posterior(votes))
+    found = t.classify(docs, labels).collect()
+    assert len(found) == len(text)
+    for r in found:
+        assert abs(r.score - toxic_score(t, weights, mined, text[r.doc_id])) < 1e-6
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_repeated_rows_do_not_outweigh_others(spark):
+    docs = spark.createDataFrame([(1, f"words {k}") for k in range(3000)] + [(k, "you idiot" if k % 2 else "fine words") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    sample, _ = t._sample(docs, labels)
+    assert sample.count() == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 40))
+
+
+def test_the_chance_is_the_binomial_tail_at_any_number():
+    for n, k, p in ((10, 3, 0.2), (70, 61, 0.5), (6000, 100, 0.01)):
+        want = 1 - sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k))
+        assert abs(t._chance(k, n, p) - want) < 1e-9

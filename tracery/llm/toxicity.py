@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters are of three kinds: fixed lexicons of insults, threats and slurs in four languages, as stems; patterns
-(disguised spellings, direct attacks, shouting); and stems mined from labelled rows, which the fixed lexicons of no
-language hold. Each voter says toxic or abstains. The label model knows, for each class, how often a voter speaks;
-expectation maximisation estimates that without using a row's label, from the class balance and the voters' first
-guess. Voters that speak together more than their accuracies explain (correlation of residuals) share their weight. A
+(disguised spellings, direct attacks, shouting); and at most STEMS stems of SHORTEST to LONGEST letters mined from
+labelled rows, which the fixed lexicons of no language hold (of those that qualify, the 20 * STEMS that most toxic rows
+hold are looked at). Each voter says toxic or abstains. The label model knows, for each class, how often a voter speaks;
+expectation maximisation estimates that without using a row's label. Labels enter in three places: they choose the
+mined stems, they give the class balance, and a voter's precision on labelled rows is the first guess from which the
+maximisation starts. Voters that speak together more than their accuracies explain (correlation of residuals) share their weight. A
 logistic classifier over the votes and how many of them there are is then fitted to the posteriors.
 
 Stems and model come from at most TOXIC_ROWS and CLEAN_ROWS labelled rows of the training fold
-(crc32(doc_id as text) mod 5 is not 0), those with the least hash of doc_id. The two classes are counted over all its
+(crc32(doc_id as text) mod 5 is not 0), those with the least hash of doc_id; of rows that repeat a doc_id, one. The two classes are counted over all its
 labels, and a sampled row weighs as many labels as it stands for, in the balance, in the stems' precision and in both
 models. Every text is scored whole.
 
@@ -19,7 +21,6 @@ scored each; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracery.llm.common import map_texts, sliced, texts, training_fold, utf8
+from tracery.llm.common import discard, map_texts, sliced, texts, training_fold, utf8, written
 
 FOLDS, HELD_OUT = 5, 0
 TOXIC_ROWS, CLEAN_ROWS = 2000, 4000
@@ -88,26 +89,36 @@ class Voters:
         for k, group in enumerate(groups):
             for s, level in group:
                 self.at.setdefault(s, []).append((level, k))
-        self.lengths = sorted({len(s) for s in self.at})
+        # a word is looked up once, by its first letters; stems of fewer letters are whole words
+        self.heads: dict[str, list[str]] = {}
+        for s in self.at:
+            self.heads.setdefault(s[:SHORTEST], []).append(s)
 
     def vote(self, text: str) -> list[int]:
         """The voters that say toxic."""
         low = text.lower()
-        words = set(_WORDS.findall(low))
-        found: set[int] = set()
-        for n in self.lengths:
-            starts = [w[:n] for w in words]
-            for s in self.at.keys() & set(starts):
-                found.update(k for level, k in self.at[s] if level == 1 or starts.count(s) >= level)
+        held: Counter[str] = Counter()
+        heads = self.heads
+        for w in set(_WORDS.findall(low)):
+            for s in heads.get(w[:SHORTEST], ()):
+                if w.startswith(s) and (len(s) >= SHORTEST or len(w) == len(s)):
+                    held[s] += 1
+        found = {k for s, n in held.items() for level, k in self.at[s] if n >= level}
         for k, (_, pattern, hint) in enumerate(_PATTERNS, self.size):
             if hint(low) and pattern.search(low):
                 found.add(k)
         return sorted(found)
 
 
+#: log k! for the numbers of rows that a sample can have.
+_LOG_FACTORIAL = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, TOXIC_ROWS + CLEAN_ROWS + 1)))))
+
+
 def _chance(t: int, n: int, balance: float) -> float:
     """P(at least t of n rows are toxic) where each is with chance ``balance``."""
-    return sum(math.comb(n, k) * balance**k * (1 - balance) ** (n - k) for k in range(t, n + 1))
+    k = np.arange(t, n + 1)
+    log = _LOG_FACTORIAL[n] - _LOG_FACTORIAL[k] - _LOG_FACTORIAL[n - k] + k * np.log(balance) + (n - k) * np.log1p(-balance)
+    return float(np.exp(log).sum())
 
 
 def mine(counts: list[tuple[str, int, int]], balance: float, most: int = STEMS, clean_weight: float = 1.0) -> list[str]:
@@ -119,7 +130,7 @@ def mine(counts: list[tuple[str, int, int]], balance: float, most: int = STEMS,
     words: list[str] = []
     good = [(-t, s, c) for s, t, c in counts if t >= LEAST_DOCS and (t + 0.5) / (t + clean_weight * c + 1) >= PRECISION]
     for t, stem, c in sorted(good):
-        if -t < 60 and _chance(-t, c - t, balance) > CHANCE:
+        if _chance(-t, c - t, balance) > CHANCE:
             continue
         if len(taken) == most:
             break
@@ -200,14 +211,15 @@ class ToxicityModel:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """(y, text) of the bounded training sample, and by class how many labels a row of it stands for."""
+    """(y, text) of the bounded training sample, as a written table, and by class how many labels a row of it stands for."""
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     own = own.where(training_fold("doc_id", FOLDS) != HELD_OUT).distinct()
     first = lambda y, n: own.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = first(1, TOXIC_ROWS).union(first(0, CLEAN_ROWS))  # a bounded number of rows of two numbers
     counts = {r.y: r["count"] for r in own.where("y in (0, 1)").groupBy("y").count().collect()}
     stands = {y: max(1.0, counts.get(y, 0) / most) for y, most in ((0, CLEAN_ROWS), (1, TOXIC_ROWS))}
-    return texts(docs).join(F.broadcast(chosen), "doc_id").select("y", "text"), stands
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return written(rows.select("y", "text"), "toxicity-sample"), stands
 
 
 def _counted(sample: DataFrame, clean_weight: float) -> list[tuple[str, int, int]]:
@@ -241,6 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     rows = sample.mapInArrow(run, "y int, votes array<int>").collect()  # TOXIC_ROWS + CLEAN_ROWS short lists at most
     rows.sort()
+    discard(sample)
     votes = np.zeros((len(rows), len(voters.names)))
     for k, row in enumerate(rows):
         votes[k, row.votes] = 1

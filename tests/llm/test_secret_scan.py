@@ -64,3 +64,35 @@ def test_redact(spark):
     found = s.redact(docs)
     assert found.columns == docs.columns
     assert [(r.text, r.n_chars) for r in found.collect()] == [("a [SECRET] b", 12), (None, None), ("clean", 5)]
+
+
+def test_planted_secrets_are_found_and_words_left_alone(spark):
+    rows, _ = corpus()
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    table = s.log_ratios(s.pair_counts(docs.unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))))
+    r = random.Random(12)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n, least in ((8, 0.85), (10, 0.95), (12, 0.98), (16, 0.99), (40, 1.0)):
+        caught = sum(s._text(s.scan(f"we {w} on".encode(), table)[1]) == f"random:3:{3 + n}" for w in ("".join(r.choices(base62, k=n)) for _ in range(300)))
+        assert caught >= least * 300, n
+    plain = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert not any(x.startswith("random") for t in plain for x in s._text(s.scan((t or "").encode(), table)[1]).split(","))
+
+
+def test_pieces_change_nothing(monkeypatch):
+    r = random.Random(3)
+    alphabet = "ab01XYZ+/=- \n.é"
+    texts = ["".join(r.choices(alphabet, k=r.randint(0, 400))) + r.choice(["", " token=abcdefgh12345678 ", "x" * 90]) for _ in range(300)]
+    import numpy as np
+
+    table = np.random.default_rng(1).normal(0.5, 1.0, (s.SYMBOLS, s.SYMBOLS))
+    whole = [s.scan(t.encode(), table) for t in texts]
+    assert any(x[2] - x[0] > 60 for _, spans in whole for x in spans)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(s, "PIECE", size)
+        assert [s.scan(t.encode(), table) for t in texts] == whole
+
+
+def test_redact_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_chars int, spans int")
+    assert s.redact(docs).columns == docs.columns and s.redact(docs).count() == 0

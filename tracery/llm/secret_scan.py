@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 The patterns label the samples: what they match is the random class, every other run of identifier characters the
-ordinary class. Character pair counts of both come from all whole texts (sums of two small matrices, whatever the
+ordinary class. A text is coded piece by piece, so that very long ones need little more than their own size. Character pair counts of both come from all whole texts (sums of two small matrices, whatever the
 corpus). A run of MIN_RUN or more identifier characters outside the patterns' spans is a secret if the log-likelihood
 ratio of the two first-order models exceeds MIN_RATIO in all and MIN_MEAN a character.
 
@@ -32,7 +32,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 HINTS = (b"password", b"passwd", b"secret", b"token", b"api")
 
-MIN_RUN, MIN_RATIO, MIN_MEAN = 16, 12.0, 0.8
+MIN_RUN, MIN_RATIO, MIN_MEAN = 8, 12.0, 0.8
+#: Bytes of a text whose characters are coded at once; runs and pairs go on from piece to piece.
+PIECE = 1 << 22
 LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(256, dtype=np.int64)  # 0: not an identifier character
 _CODE[np.frombuffer(LETTERS, dtype=np.uint8)] = np.arange(1, len(LETTERS) + 1)
@@ -63,10 +65,12 @@ def base_spans(data: bytes, values: np.ndarray) -> list[Span]:
     return sorted(found)
 
 
-def _covered(n: int, spans: list[Span]) -> np.ndarray:
-    mask = np.zeros(n, dtype=bool)
+def _covered(at: int, end: int, spans: list[Span]) -> np.ndarray:
+    """Which of the bytes from ``at`` to ``end`` lie in a span."""
+    mask = np.zeros(end - at, dtype=bool)
     for a, _, b in spans:
-        mask[a:b] = True
+        if a < end and b > at:
+            mask[max(a, at) - at : b - at] = True
     return mask
 
 
@@ -77,15 +81,15 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(2 * SYMBOLS * SYMBOLS, np.int64)
         for batch in sliced(batches):
             for data in utf8(batch.column(0)):
-                if data:
-                    values = np.frombuffer(data, dtype=np.uint8)
-                    codes = _CODE[values]
-                    before = np.concatenate(([0], codes[:-1]))
-                    pairs = before * SYMBOLS + codes
-                    spans = base_spans(data, values)
+                values = np.frombuffer(data, dtype=np.uint8)
+                spans, last = base_spans(data, values), 0
+                for at in range(0, len(values), PIECE):
+                    codes = _CODE[values[at : at + PIECE]]
+                    pairs = np.concatenate(([last], codes[:-1])) * SYMBOLS + codes
                     if spans:
-                        pairs = pairs + _covered(len(data), spans) * (SYMBOLS * SYMBOLS)
+                        pairs += _covered(at, at + len(codes), spans) * (SYMBOLS * SYMBOLS)
                     total += np.bincount(pairs[codes > 0], minlength=len(total))
+                    last = int(codes[-1])
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], names=["pair", "n"])
 
@@ -108,16 +112,33 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 
 def random_spans(values: np.ndarray, spans: list[Span], table: np.ndarray) -> list[Span]:
     """Runs outside the spans that the random model explains better, by the thresholds above."""
-    codes = _CODE[values]
-    inside = codes > 0
-    if spans:
-        inside = inside & ~_covered(len(values), spans)
-    found = []
-    for a, b in zip(*_runs(inside, MIN_RUN), strict=True):
-        own = codes[a:b]
-        ratio = table[np.concatenate(([0], own[:-1])), own].sum()
-        if ratio >= MIN_RATIO and ratio >= MIN_MEAN * (b - a):
-            found.append((int(a), 3, int(b)))
+    found: list[Span] = []
+    start, last, ratio = None, 0, 0.0  # of the run that a piece leaves open
+
+    def close(end: int) -> None:
+        if end - start >= MIN_RUN and ratio >= MIN_RATIO and ratio >= MIN_MEAN * (end - start):
+            found.append((start, 3, end))
+
+    for at in range(0, len(values), PIECE):
+        codes = _CODE[values[at : at + PIECE]]
+        if spans:
+            codes[_covered(at, at + len(codes), spans)] = 0
+        if start is not None and not codes[0]:  # the run ended with the piece before
+            close(at)
+            start = None
+        starts, ends = _runs(codes > 0, 1)
+        kept = (ends - starts >= MIN_RUN) | (starts == 0) | (ends == len(codes))
+        for a, b in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True):
+            if start is None:
+                start, last, ratio = at + a, 0, 0.0
+            own = codes[a:b]
+            ratio += float(table[np.concatenate(([last], own[:-1])), own].sum())
+            last = int(own[-1])
+            if b < len(codes):
+                close(at + b)
+                start = None
+    if start is not None:
+        close(len(values))
     return found
 
 
@@ -125,9 +146,11 @@ def _in_points(data: bytes, spans: list[Span]) -> list[Span]:
     """The spans in code points."""
     if data.isascii() or not spans:
         return spans
-    ends = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)
-    at = lambda k: int(ends[k - 1]) if k else 0
-    return [(at(a), kind, at(b)) for a, kind, b in spans]
+    values, points, at, n = np.frombuffer(data, dtype=np.uint8), {}, 0, 0
+    for k in sorted({x for a, _, b in spans for x in (a, b)}):
+        n += int(np.count_nonzero((values[at:k] & 0xC0) != 0x80))
+        points[k], at = n, k
+    return [(points[a], kind, points[b]) for a, kind, b in spans]
 
 
 def scan(data: bytes, table: np.ndarray) -> tuple[list[Span], list[Span]]:

@@ -12,15 +12,15 @@ No step emits the pairs of a group, and none gathers a group in one task:
    are the nodes from here on; a class's set is made from one row of it.
 2. In each band's bucket, one class (the least by a hash) is the pivot; the others are held against it, by sizes and
    bit counts and then by full sets. As buckets of one group differ, so do their pivots. Components follow.
-3. A bucket that still spans several components is settled exactly by prefixes: under any one order of shingles, two
-   sets of similarity p share one of the first n - ceil(p n) + 1 of each. The order is by rarity, as a fixed number of
-   counters over all these sets has it, so what many texts share (a boilerplate, a template) stands behind the
-   prefixes. Only classes that share a shingle there and lie in different components meet, in blocks of BLOCK, and
-   those that sizes and bit counts leave go on to their full sets.
+3. A bucket that still spans several components is settled exactly. Under any one order of shingles, two sets of
+   similarity p share one of the first n - ceil(p n) + 1 of each. The order is by rarity, as a fixed number of counters
+   over all these sets has it, so what many texts share (a boilerplate, a template) stands behind the prefixes. Only
+   classes that share a prefix shingle with another component are open; of these, those outside the bucket's largest
+   component are held against all, in blocks of BLOCK over an inverted index that emit one link for each pair of
+   components met. Blocks hold sets of like sizes, and sizes that no link can bridge never meet.
 
-Step 3 is in proportion to the sets where rare shingles are rare. Where a shingle of many sets is among the rarest of
-them all, its blocks are compared with each other by sizes and bit counts (narrow rows), the one step whose work grows
-with the square of such a group; what it emits are the pairs that look linked and are not yet.
+Where very many texts of one bucket stay open and unlinked (as none of their shingles is rare), step 3 compares blocks
+with each other, the one step whose work grows with the square of such a group. It emits no pairs but links.
 
 Defined cases: a null, empty or all-blank text has no shingles and links with nothing, its own component; a text of
 fewer words than a shingle is one shingle; a row with a null doc_id takes its component's smallest id, null if all are
@@ -325,32 +325,63 @@ def alike(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (estimate(a, b) >= CUT)
 
 
-def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two components that share a prefix shingle and look alike.
-
-    rows: (g, shingle, node, component, n_shingles, s0..s3). A shingle of one component is dropped before anything is
-    paired; one of many classes is dealt to pairs of blocks.
-    """
-    key = ["g", "shingle"]
-    contested = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    blocks = contested.select(*key, F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    held = written(rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("node"), "blocks")), "contested")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    x, y = held.withColumn("i", F.col("block")).withColumn("j", every).alias("x"), held.withColumn("j", F.col("block")).withColumn("i", every).alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*key, "i", "j")]
-    open_ = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & alike("x", "y", percent)
-    return x.join(y, [*same, open_]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def open_nodes(rows: DataFrame) -> DataFrame:
+    """(g, node, component) of the rows (g, shingle, node, component) that share a prefix shingle with another component."""
+    contested = rows.groupBy("g", "shingle").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    return rows.join(contested.select("g", "shingle"), ["g", "shingle"]).select("g", "node", "component").distinct()
+
+
+def _meet(percent: int):
+    """One link for each left node and component of the right ones that it is linked with, by an inverted index."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows.is_left].reset_index(drop=True), rows[~rows.is_left].reset_index(drop=True)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in left.own]
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sizes = np.array([len(s) for s in sets], dtype=np.int64)
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            met = set()
+            for b, component, own in zip(right.node, right.component, right.own, strict=True):
+                s = np.frombuffer(own, dtype=np.uint64)
+                lo, hi = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+                n = hi - lo
+                hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owner[hits], minlength=len(sets))
+                for k in np.flatnonzero(linked(common, sizes, len(s), percent)).tolist():
+                    if left.component[k] != component and (k, component) not in met:
+                        met.add((k, component))
+                        out.append((int(left.node[k]), int(b)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def settled(docs: DataFrame, classes: DataFrame, unsettled: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links between components that buckets leave, found by prefixes and confirmed on full sets: a written table."""
-    nodes = written(classes.join(unsettled.select("node").distinct(), "node", "left_semi").select("node", "row_a", "row_b", "n_shingles", *WORDS), "open-nodes")
-    sets = written(sets_of(docs, nodes.select("node", "row_a", "row_b"), words), "open-sets")
-    first = prefixes(sets, shingle_counts(sets), percent)
-    rows = first.join(unsettled, "node").join(nodes.drop("row_a", "row_b"), "node")
-    pairs = written(open_pairs(rows, percent), "open-pairs")
-    links = written(confirmed(sets, pairs, percent), "more-links")
-    discard(nodes, sets, pairs)
+    """The links between components that buckets leave, confirmed on full sets: a written table.
+
+    Of each g, the open classes outside of it are held against all open ones, in pairs of blocks of bounded size.
+    Blocks are of one range of set sizes, and ranges that no link can bridge never meet.
+    """
+    nodes = written(classes.join(unsettled.select("node").distinct(), "node", "left_semi").select("node", "row_a", "row_b", "n_shingles"), "unsettled-nodes")
+    sets = written(sets_of(docs, nodes.select("node", "row_a", "row_b"), words), "unsettled-sets")
+    rows = prefixes(sets, shingle_counts(sets), percent).join(unsettled, "node")
+    span = F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9).cast("int")  # linked sets are in one range or next to each other
+    every = written(open_nodes(rows).join(nodes.select("node", "n_shingles"), "node").withColumn("span", span).drop("n_shingles"), "open")
+    outside = every.where("component <> g")
+    blocks = lambda df, name: df.groupBy("g", F.col("span").alias(f"{name}_span")).agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    left, right = written(blocks(outside, "left"), "left-blocks"), written(blocks(every, "right"), "right-blocks")
+    both = F.explode(F.array(*[F.col("span") + k for k in (-1, 0, 1)]))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = lambda df, own, other: df.withColumn(f"{own}_span", F.col("span")).withColumn(f"{other}_span", both).join(left, ["g", "left_span"]).join(right, ["g", "right_span"])
+    key = ["g", "left_span", "right_span", "i", "j"]
+    dealt = met(outside, "left", "right").select("g", "left_span", "right_span", place("left").alias("i"), of("right").alias("j"), "node", "component", F.lit(True).alias("is_left"))
+    dealt = dealt.unionByName(met(every, "right", "left").select("g", "left_span", "right_span", of("left").alias("i"), place("right").alias("j"), "node", "component", F.lit(False).alias("is_left")))
+    links = written(dealt.join(sets, "node").groupBy(*key).applyInPandas(_meet(percent), "a long, b long"), "more-links")
+    discard(nodes, sets, every, left, right)
     return links
 
 

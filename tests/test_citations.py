@@ -1,3 +1,5 @@
+import random
+
 from tracery.functions import boxes, text as tx
 from tracery.operators import citations as c
 from tracery.sources import tei
@@ -9,7 +11,21 @@ def numbers(spark, *markers):
 
 
 def test_numbers(spark):
-    assert numbers(spark, "[15-18]", "¹⁵–¹⁸", "[2, 5–7; 9]", "Smith, 2020", "[18-15]", "[1,", "[1-900]", "", "[3, 3]") == [[15, 16, 17, 18]] * 2 + [[2, 5, 6, 7, 9], [], [], [1], [], [], [3]]
+    r, dash = random.Random(7), "-–—"
+    raised = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+    markers, wanted = [], []
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(r.randint(1, 4)):
+            a = r.randint(1, 400)
+            b = a + r.randint(1, 12) if r.random() < 0.4 else a
+            parts.append(f"{a}{r.choice(dash)}{b}" if b > a else str(a))
+            want += [n for n in range(a, b + 1) if n not in want]
+        text = r.choice([", ", ";", "; "]).join(parts)
+        markers.append(text.translate(raised) if r.random() < 0.2 and ";" not in text and "," not in text else f"[{text}]")
+        wanted.append(want)
+    assert numbers(spark, *markers) == wanted
+    assert numbers(spark, "[41-29]", "[6,", "[2-640]", "", "Okafor, 2013", "[8, 8]") == [[], [6], [], [], [], [8]]
 
 
 def doc(spark, text, refs, kind="p"):
@@ -19,10 +35,11 @@ def doc(spark, text, refs, kind="p"):
 
 
 def test_labels_not_order(spark):
-    p, b = doc(spark, "See [15-18] here", [("b0", "[18]", "A", "2000", "r"), ("b1", "15", "B", "2000", "r"), ("b2", "17.", "C", "2000", "r"), ("b3", "16", "D", "2000", "r")])
+    labels = {"first": "44", "second": "[41]", "third": "43.", "fourth": "42"}
+    p, b = doc(spark, "As found earlier [41–44].", [(i, n, "Okafor", "2013", "r") for i, n in labels.items()])
     found = c.mentions(p)
     links = {r.number: r.reference_id for r in c.numeric_links(found, b).collect()}
-    assert links == {15: "b1", 16: "b3", 17: "b2", 18: "b0"}
+    assert links == {41: "second", 42: "fourth", 43: "third", 44: "first"}
     assert c.resolutions(found, c.numeric_links(found, b)).first().resolution == "resolved"
 
 
@@ -43,7 +60,7 @@ def test_offsets_of_repeated_markers(spark):
 
 
 def test_rejects_keep_their_reason(spark):
-    p, _ = doc(spark, "x ∈ [0, 1] and Fig. [2] and [1000-1300] μm and [4]", [])
+    p, _ = doc(spark, "y ∈ [3, 9] and Fig. [6] and [2200-2450] μm and [7]", [])
     assert [r.reject_reason for r in c.mentions(p).orderBy("ordinal").collect()] == ["mathematical_interval", "structural_reference", "quantity", None]
 
 
@@ -76,6 +93,20 @@ def test_tei_tables_and_hierarchy(spark):
     assert [(b.page, b.x0, b.x1) for b in found] == [(1, 10.0, 15.0)]
 
 
+def test_tei_containers_and_unnamed_entries(spark):
+    xml = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><profileDesc><abstract><div><p>Shown <ref type="bibr">[9]</ref>.</p></div></abstract></profileDesc></teiHeader>
+<text><body><div><head>Körper</head><p>Deep   <hi>in <ref type="bibr" target="#q">(Okafor  2013b)</ref></hi>
+ lines <ref type="bibr"> </ref></p><figure><figDesc><p>A map <ref type="bibr">[4]</ref></p></figDesc></figure><table><row><cell>7 <ref type="bibr">[5]</ref></cell></row></table><note>Also.</note><p> </p></div></body>
+<back><listBibl><biblStruct><monogr><author><orgName>River Board</orgName></author><title>Flows</title><imprint><date when="2013"/></imprint></monogr><note type="raw_reference">[9] River Board, 2013b. Flows.</note></biblStruct>
+<biblStruct xml:id="q"><monogr><title>Later</title><imprint><date when="1999"/></imprint></monogr><note type="raw_reference">Lakes Office, 1998. Later.</note></biblStruct></listBibl></back></text></TEI>"""
+    out = tei.parse_tei("d", xml)
+    assert [(x["kind"], x["section_id"]) for x in out["paragraphs"]] == [("abstract", None), ("head", "s1"), ("p", "s1"), ("figDesc", "s1"), ("cell", "s1"), ("note", "s1")]
+    text = {x["id"]: x["text"] for x in out["paragraphs"]}
+    assert [x["raw_marker"] for x in out["refs"]] == ["[9]", "(Okafor  2013b)", "[4]", "[5]"]
+    assert all(text[x["paragraph_id"]][x["start"] : x["end"]] == x["raw_marker"] for x in out["refs"]) and text["p3"].startswith("Deep   in (Okafor")
+    assert [(x["id"], x["label"], x["family"], x["year"]) for x in out["bibliography"]] == [("bibliography_0", "[9]", "River Board", "2013b"), ("q", None, "Lakes Office", "1999")]
+
+
 def test_evidence_rows(spark):
     paragraphs = spark.createDataFrame([("d", "p0", 0, "p", "s1", "Before."), ("d", "p1", 1, "p", "s1", "Long one. See [1] now. End."), ("d", "p2", 2, "note", "s1", "After.")], "doc_id string, id string, seq int, kind string, section_id string, text string")
     bibliography = spark.createDataFrame([("d", "b0", "1", "A", "2000", "A 2000")], "doc_id string, id string, label string, family string, year string, raw string")

@@ -41,10 +41,29 @@ def test_identity_evidence(spark):
     assert found == [(["signature"], False), ([], False), (["domain"], False), ([], True), ([], False)]
 
 
-def test_distinctive_titles(spark):
-    rows = [("State of world food security", "State of world food security report 2020", "2020a", "May 2020"), ("State of world food security", "State of world food security: annex of tables", "2020", "2020"), ("Food report", "Food report", "2020", "2020"), ("State of world food security", "State of world food security", "2019", "2020")]
-    df = spark.createDataFrame(rows, "c string, t string, y string, d string")
-    assert [x[0] for x in df.select(r.distinctive(F.col("c"), F.col("t"), F.col("y"), F.col("d"))).collect()] == [True, False, False, False]
+def test_editions_of_a_catalogue_title(spark):
+    own = "Outlook on river basins and coastal fisheries"
+    rows = [
+        (own, f"{own}, second printing 2011", "2011b", "March 2011", True),
+        (own, own, "2011", "2011", True),
+        (own, f"{own}: tables by country", "2011", "2011", False),
+        (own, f"{own} {'printing ' * 9}", "2011", "2011", False),
+        (own, own, "2010", "2011", False),
+        (own, own, None, "2011", False),
+        ("River basins", "River basins", "2011", "2011", False),
+        ("Outlook on river basins and coastal fish", own, "2011", "2011", False),
+    ]
+    df = spark.createDataFrame(rows, "c string, t string, y string, d string, want boolean")
+    found = df.select("want", r.names_edition(F.col("c"), F.col("t"), F.col("y"), F.col("d"), ["on", "and"], ["second", "printing"]).alias("found")).collect()
+    assert [x.found for x in found] == [x.want for x in found]
+
+
+def test_one_edit_in_short_keys_is_met(spark):
+    key = "abcdefghijklmnopqrst"
+    edits = [key[:k] + "z" + key[k + 1 :] for k in range(len(key))]
+    new = spark.createDataFrame([("d", f"n{k}", e) for k, e in enumerate(edits)], "doc_id string, id string, raw string")
+    known = spark.createDataFrame([("d", "k", key)], "doc_id string, id string, raw string")
+    assert r.present_entries(new, known).count() == len(key)
 
 
 def test_conflicts_and_reconciliation(spark):

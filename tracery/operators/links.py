@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sampled keys in each range of new keys.
+SAMPLED = 16
+
 
 def status_of(n: Column) -> Column:
     """matched, ambiguous or unmatched, from a number of candidates."""
@@ -72,17 +75,24 @@ def insert_or_ignore(table: DataFrame, new: DataFrame, key: list[str]) -> DataFr
     return table.unionByName(new.dropDuplicates(key).join(table.select(*key), key, "left_anti"))
 
 
-def assigned_numbers(ledger: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
+def assigned_numbers(ledger: DataFrame, keys: DataFrame, kind: str, buckets: int = 256) -> DataFrame:
     """The ledger (kind, key, n) with numbers for keys not met before, in key order; old numbers never change.
 
-    New keys get their rank from a range partitioning and per-partition counts, not from one global window.
+    New keys are dealt to ranges between bounds from a hash sample, about SAMPLED a range, so that no one task orders
+    them all: a key's number is the top number, the counts of the ranges before its own, and its rank there.
     """
     own = ledger.where(F.col("kind") == kind)
     top = own.agg(F.coalesce(F.max("n"), F.lit(0)).alias("top"))
     new = keys.select("key").distinct().join(own.select("key"), "key", "left_anti")
-    dealt = new.withColumn("part", F.substring(F.col("key").cast("string"), 1, 3))
+    n = new.count()
+    sample = new.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (buckets * SAMPLED)))) == 0) if n > buckets * SAMPLED else new.limit(0)
+    drawn = sorted(r.key for r in sample.collect())  # about buckets * SAMPLED keys, whatever the number of keys
+    bounds = [drawn[k] for k in range(SAMPLED, len(drawn), SAMPLED)]
+    kind_of = keys.schema["key"].dataType
+    part = sum((F.when(F.col("key") >= F.lit(x).cast(kind_of), 1).otherwise(0) for x in bounds), F.lit(0)) if len(bounds) < 8 else F.size(F.filter(F.array(*[F.lit(x).cast(kind_of) for x in bounds]), lambda x: x <= F.col("key")))
+    dealt = new.withColumn("part", part)
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a range
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy("key")))
-    placed = ranked.join(before.select("part", "before"), "part").crossJoin(F.broadcast(top))  # one row
+    placed = ranked.join(F.broadcast(before.select("part", "before")), "part").crossJoin(F.broadcast(top))  # a row a range, and one row
     return ledger.unionByName(placed.select(F.lit(kind).alias("kind"), "key", (F.col("top") + F.col("before") + F.col("rank")).alias("n")))

@@ -15,8 +15,6 @@ PRINTED_LABEL = r"^\s*(?:\[\d{1,4}\]|\d{1,4}[.)])\s+\S"
 BULLET = r"^\s*[•●▪]\s*"
 SUPRA = r"(?i)\b(?:supra|above)\s+n(?:ote)?\.?\s*(\d{1,3})"
 IBID = r"(?i)^\s*(?:ibid|id)\b\.?"
-#: Words that a title's trailing part may hold without being another document.
-GENERIC = ("report", "in", "united", "nations", "organization", "organisation", "the", "of", "and")
 STOP = ("the", "and", "for", "from", "with", "that", "this", "into", "are", "was", "report")
 
 
@@ -59,8 +57,8 @@ def almost_equal(a: Column, b: Column, least: int = 20) -> Column:
 
 def present_entries(new: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, new_id, known_id) where exactly one known entry is the same. The first letters bring pairs together."""
-    lead = F.substring(entry_key(F.col("raw")), 1, 12)
-    tail = F.substring(F.reverse(entry_key(F.col("raw"))), 1, 12)  # one edit leaves at least one end as it is
+    lead = F.substring(entry_key(F.col("raw")), 1, 10)
+    tail = F.substring(F.reverse(entry_key(F.col("raw"))), 1, 10)  # half of the least length each: one edit leaves one end as it is
     both = lambda df, name: df.select("doc_id", F.col("id").alias(name), F.col("raw").alias(f"{name}_raw"), F.explode(F.array(F.concat(F.lit("<"), lead), F.concat(F.lit(">"), tail))).alias("end"))
     pairs = both(new, "new_id").join(both(known, "known_id"), ["doc_id", "end"]).where(almost_equal(F.col("new_id_raw"), F.col("known_id_raw")))
     found = pairs.groupBy("doc_id", "new_id").agg(F.count_distinct("known_id").alias("n"), F.min("known_id").alias("known_id"))
@@ -134,15 +132,19 @@ def organization_evidence(references: DataFrame, names: list[str], domains: list
     return references.select("*", evidence.alias("evidence"), (F.size(starts) > 1).alias("needs_reference_split"))
 
 
-def distinctive(catalog_title: Column, title: Column, cited_year: Column, catalog_date: Column, own_words: tuple[str, ...] = ()) -> Column:
-    """A title that opens with a catalogue title of four content words, of the same year, with little more to it."""
-    cat, words = word_list(catalog_title), word_list(title)
-    content = F.filter(cat, lambda w: ~w.isin("the", "a", "an", "and", "or", "of", "for", "in", "to", "report"))
-    trailing = F.slice(words, F.size(cat) + 1, F.greatest(F.size(words) - F.size(cat), F.lit(0)))
-    year = F.substring(cited_year, 1, 4)
-    known = F.forall(trailing, lambda w: w.isin(*GENERIC, *own_words) | (w == year))
-    ok = (F.size(content) >= 4) & (F.slice(words, F.lit(1), F.size(cat)) == cat) & F.contains(catalog_date, year) & (F.length(year) == 4) & (F.size(trailing) <= 8) & known
-    return F.coalesce(ok, F.lit(False))
+def names_edition(catalog_title: Column, title: Column, cited_year: Column, catalog_date: Column, minor: list[str], added: list[str], least: int = 4, most: int = 8) -> Column:
+    """Whether a cited title is a catalogue title of the same year with nothing of its own after it.
+
+    The target's configuration says which words are ``minor`` (a catalogue title needs ``least`` others to be told from
+    a phrase) and which may be ``added`` after the title, ``most`` words in all, without naming another work.
+    """
+    whole, cited, year = word_list(catalog_title), word_list(title), F.regexp_extract(cited_year, r"^\d{4}", 0)
+    minor_, added_ = (F.array(*[F.lit(w) for w in words]).cast("array<string>") for words in (minor, added))
+    opens = F.startswith(F.array_join(F.concat(cited, F.array(F.lit(""))), " "), F.array_join(F.concat(whole, F.array(F.lit(""))), " "))
+    told_apart = F.size(F.filter(whole, lambda w: ~F.array_contains(minor_, w))) >= least
+    rest = F.slice(cited, F.size(whole) + 1, F.greatest(F.size(cited) - F.size(whole), F.lit(0)))
+    own = F.size(F.array_except(rest, F.array_append(added_, year)))
+    return F.coalesce(told_apart & opens & (own == 0) & (F.size(rest) <= most) & (year != "") & F.contains(catalog_date, year), F.lit(False))
 
 
 def significant_words(text: Column) -> Column:

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from tracery.functions.text import any_alias, redacted
 
-#: Words that make a name an institution's; what joins two names; an identifier of a document.
-INSTITUTION = r"(?i)\b(?:institute|institution|programme|program|organi[sz]ation|agency|university|council|commission|department|bank|foundation|ministry|centre|center)\b"
+#: What joins two names; an identifier of a document.
 JOINED = r"\s*(?:;|&|\band\b)\s*"
 DOCUMENT_CODE = r"\b[A-Z]{2,6}(?:/[A-Z0-9.]{1,12}){2,6}\b"
 
@@ -22,12 +21,15 @@ def signature(raw: Column) -> Column:
     return F.trim(F.when(year != "", year).otherwise(F.regexp_extract(raw, r"^([^.]*)\.", 1)))
 
 
-def joint_authorship(raw: Column, names: list[str]) -> Column:
-    """struct(joint, coauthors): a signature of several names, one the target's and each other one an institution or acronym."""
-    pattern = any_alias(names)
+def joint_authorship(raw: Column, names: list[str], institutions: list[str]) -> Column:
+    """struct(joint, coauthors): a signature of several names, one the target's and each other one an institution or acronym.
+
+    ``institutions``: the words that make a name an institution's, from the target's configuration.
+    """
+    pattern, institution = any_alias(names), r"(?i)\b(?:" + "|".join(institutions) + r")\b"
     parts = F.filter(F.transform(F.split(signature(raw), JOINED), lambda p: F.trim(p)), lambda p: p != "")
     signed = F.exists(parts, lambda p: p.rlike(pattern))
-    proper = F.forall(parts, lambda p: p.rlike(pattern) | p.rlike(INSTITUTION) | p.rlike(r"^[A-Z][A-Z0-9/-]{1,15}\.?$"))
+    proper = F.forall(parts, lambda p: p.rlike(pattern) | p.rlike(institution) | p.rlike(r"^[A-Z][A-Z0-9/-]{1,15}\.?$"))
     joint = F.coalesce((F.size(parts) > 1) & signed & proper, F.lit(False))
     return F.struct(joint.alias("joint"), F.when(joint, parts).alias("coauthors"))
 

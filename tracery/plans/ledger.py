@@ -158,7 +158,7 @@ ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20
     "numbering_ledger": """
 WITH h AS (SELECT max(c_custkey) // 2 AS half FROM customer), o AS (SELECT c_custkey AS key, c_custkey + 25 AS n FROM customer, h WHERE c_custkey <= half),
      f AS (SELECT key, n FROM o UNION ALL
-           SELECT c_custkey, (SELECT max(n) FROM o) + row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)[1:3], c_custkey) FROM customer, h WHERE c_custkey > half)
+           SELECT c_custkey, (SELECT max(n) FROM o) + row_number() OVER (ORDER BY c_custkey) FROM customer, h WHERE c_custkey > half)
 SELECT key, n, 'P' || CASE WHEN length(CAST(n AS VARCHAR)) >= 6 THEN CAST(n AS VARCHAR) ELSE lpad(CAST(n AS VARCHAR), 6, '0') END AS display_id FROM f
 """,
     "upsert_latest_wins": """

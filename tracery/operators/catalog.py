@@ -40,16 +40,21 @@ def match_reference(references: DataFrame, catalog: DataFrame, least_words: int
 
     ``catalog``: (title, url, year). Tier 1: the reference names the URL up to its end; 2: the same bag of words; 3: a
     title of ``least_words`` or more stands in the reference's words. The best tier's hits count: one URL or one title
-    is a match, several titles are ambiguous. A catalogue is a small file; its broadcast is the planner's choice by size.
+    is a match, several titles are ambiguous. Each tier is an equi-join: on the URLs that a text names, each with the
+    prefixes at which one may end; on the bag; and on a title's longest word, which the reference must hold.
     """
-    cat = catalog.select("title", "url", F.col("year").alias("cat_year"), url_key(F.col("url")).alias("key"), bag(F.col("title")).alias("cat_bag"), F.array_join(word_list(F.col("title")), " ").alias("cat_words"), F.size(word_list(F.col("title"))).alias("n"))
-    refs = references.select("ref_id", F.col("year").alias("ref_year"), F.lower(F.col("text")).alias("low"), bag(F.col("title")).alias("ref_bag"), F.array_join(word_list(F.concat_ws(" ", "title", "text")), " ").alias("ref_words"))
-    ends = F.concat(F.lit(r"\Q"), F.col("key"), F.lit(r"\E/?(?=$|[\s.,;)\]])"))
-    by_url = (F.col("key") != "") & F.contains(F.col("low"), F.col("key")) & F.rlike(F.col("low"), ends)
-    by_bag = (F.col("cat_bag") != "") & (F.col("cat_bag") == F.col("ref_bag"))
-    by_title = (F.col("n") >= least_words) & F.contains(F.col("ref_words"), F.col("cat_words"))
-    tier = F.when(by_url, 1).when(by_bag, 2).when(by_title, 3)
-    hits = refs.join(cat, by_url | by_bag | by_title).withColumn("tier", tier)
+    cat = catalog.select("title", "url", F.col("year").alias("cat_year"), url_key(F.col("url")).alias("key"), bag(F.col("title")).alias("cat_bag"), F.array_join(word_list(F.col("title")), " ").alias("cat_words"), word_list(F.col("title")).alias("words"), F.size(word_list(F.col("title"))).alias("n"))
+    cat = cat.withColumn("longest", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]).drop("words")
+    refs = references.select("ref_id", F.col("year").alias("ref_year"), F.lower(F.col("text")).alias("low"), bag(F.col("title")).alias("ref_bag"), word_list(F.concat_ws(" ", "title", "text")).alias("words"))
+    named = F.regexp_extract_all("low", F.lit(r"(?:https?://)?(?:www\.)?([^\s/]+\.[a-z][^\s]*)"), 1)
+    ends = lambda u: F.filter(F.transform(F.sequence(F.lit(1), F.length(u)), lambda k: F.substring(u, F.lit(1), k)), lambda x: F.rlike(F.substr(u, F.length(x) + 1), F.lit(r"^/?(?:$|[.,;)\]])")))
+    urls = refs.select("ref_id", "ref_year", F.explode(F.array_distinct(F.flatten(F.transform(named, ends)))).alias("key"))
+    by_url = urls.join(cat.where("key <> ''"), "key").withColumn("tier", F.lit(1))
+    by_bag = refs.select("ref_id", "ref_year", "ref_bag").join(cat.where("cat_bag <> ''"), F.col("ref_bag") == F.col("cat_bag")).withColumn("tier", F.lit(2))
+    held = refs.select("ref_id", "ref_year", F.array_join("words", " ").alias("ref_words"), F.explode(F.array_distinct("words")).alias("longest"))
+    by_title = held.join(cat.where(F.col("n") >= least_words), "longest").where(F.contains(F.concat(F.lit(" "), "ref_words", F.lit(" ")), F.concat(F.lit(" "), "cat_words", F.lit(" ")))).withColumn("tier", F.lit(3))
+    kept = ["ref_id", "ref_year", "title", "url", "cat_year", "key", "cat_words", "n", "tier"]
+    hits = by_url.select(*kept).unionByName(by_bag.select(*kept)).unionByName(by_title.select(*kept))
     best = hits.groupBy("ref_id").agg(F.min("tier").alias("tier"))
     top = hits.join(best, ["ref_id", "tier"]).withColumn("length", F.when(F.col("tier") == 3, F.col("n")).otherwise(0))
     longest = top.groupBy("ref_id").agg(F.max("length").alias("length"))

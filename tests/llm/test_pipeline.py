@@ -48,3 +48,28 @@ def test_run_is_its_stages(spark):
     found = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(found.columns) and found.count() > 100
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_defined_cases_through_all_stages(spark, tmp_path):
+    real = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).collect()
+    base = " ".join(f"word{k}" for k in range(120))
+    odd = [(None, base + " last"), (9001, base), (9001, base), (9002, base + "\n"), (9003, None), (9004, ""), (None, None), (9005, "very long " * 40_000), (9006, base + " token=abcdefgh1234")]
+    rows = [(r.doc_id, r.text, k, True, "c", 1.5) for k, r in enumerate(real)] + [(i, t, 100 + k, None, None, None) for k, (i, t) in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int, is_best boolean, row_a string, s_upper double")
+    empty = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, SF)
+        none = stage(spark, empty, SF)
+        assert none.count() == 0
+        if name == "packing":
+            kept = {(r.doc_id, r.text) for r in docs.collect()}
+            assert {r.doc_id for r in made.collect()} == {i for i, _ in kept}
+            break
+        assert made.columns == docs.columns == none.columns
+        made.write.parquet(str(tmp_path / f"{k}"))
+        after = spark.read.parquet(str(tmp_path / f"{k}"))
+        if name == "exact":
+            ids = [r.doc_id for r in after.collect()]
+            assert ids.count(9001) + ids.count(9002) <= 1 and ids.count(9003) + ids.count(9004) + ids.count(None) <= 2
+        docs = after
+    assert len(kept) >= 5

@@ -1,4 +1,11 @@
-"""The corpus pipeline: quality, exact dedup, near dedup, secrets, packing; each stage works on all that the one before kept."""
+"""The corpus pipeline: quality, exact dedup, near dedup, secrets, packing; each stage works on all that the one before kept.
+
+Defined cases, the same in every stage: a null text counts as empty, and stays null where a stage hands it on; empty
+texts are judged, are copies of each other, have no near copies, hold no secret and pack as their end token; rows with
+a null doc_id are judged by their text and lose to rows with an id among copies; of rows that repeat id and text one
+stays from ``exact`` on; ties go to the smallest doc_id; an empty table gives empty results; extra columns, whatever
+their names, pass through all stages but the last, which has columns of its own.
+"""
 
 from __future__ import annotations
 

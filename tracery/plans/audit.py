@@ -22,6 +22,7 @@ def catalog_passage_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bag_of_words_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J20 (bag tier): documents that share their bag of words with a smaller id; hashed once, no pairs."""
     bags = table(spark, sf_dir, "documents").select("doc_id", F.sha2(catalog.bag(F.col("text")), 256).alias("bag"))
+    bags = bags.repartition("doc_id")  # an exchange of hashes and ids that both branches read: the bags are worked out once
     groups = bags.groupBy("bag").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
     return bags.join(groups, "bag").select("doc_id", "first_id", "n")
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracery.plans import audit, flows, graph, ledger, records, star
+from tracery.plans import audit, checks, flows, graph, ledger, records, star
 
 
 def _modules():
-    return (star, graph, ledger, audit, flows, records)
+    return (star, graph, ledger, audit, flows, records, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

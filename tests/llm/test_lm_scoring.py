@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -164,3 +165,40 @@ def test_few_and_long_texts_are_learnt_from():
         own.run(True)
         assert own.losses == own.seen == n * len(text)
         assert m.score_texts(own.p, v, [text])[0] > m.score_texts(p, v, [text])[0] + 100
+
+
+def test_logits_of_all_rows_never_stand_together():
+    v, p, r = small()
+    states, targets = r.uniform(-1, 1, (m.SIZE, 1 << 16)).astype(np.float32).T, r.integers(v.size, v.types, 1 << 16)
+    tracemalloc.start()
+    out, _ = m.log_probabilities(p, v, states, targets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(out) * v.n_classes * states.itemsize
+    logits = states.astype(float) @ p["wc"] + p["bc"]
+    want = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    assert np.allclose(out, want[np.arange(len(out)), v.class_of[targets]], atol=1e-4)  # such classes have no network within
+
+
+def test_windows_hold_every_text_once_and_in_order():
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, 900, n) for n in (*r.integers(1, 60, 80), 4 * 16 * m.AHEAD + 3, 1, 16 * m.AHEAD, 700)]
+    lanes, found, last = m.Lanes(900, 5, 16), [[] for _ in texts], np.full(5, -1)
+
+    def take(drain):
+        for inputs, targets, fresh, tags in lanes.windows(drain):
+            assert drain or (targets >= 0).all()
+            for x, y, first, tag in zip(inputs, targets, fresh, tags):
+                for k in np.flatnonzero(y >= 0):
+                    assert first[k] == (not found[tag[k]]) and x[k] == (900 if first[k] else found[tag[k]][-1])
+                    assert last[k] == tag[k] or first[k]
+                    last[k] = tag[k]
+                    found[tag[k]].append(y[k])
+
+    for turn in (0, 1):  # lanes that were drained read on
+        for k, text in enumerate(texts):
+            if k % 2 == turn:
+                lanes.put(text, k)
+                take(False)
+        take(True)
+    assert all(list(a) == b for a, b in zip(texts, found, strict=True))

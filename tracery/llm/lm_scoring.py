@@ -43,6 +43,8 @@ COUNTED, LONG = 300_000, 64
 SIZE = 16
 LANES, WARM_LANES, WINDOW = 512, 128, 16
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 256, 64, 3_000_000
+#: Windows that lanes are laid out for at a time; rows whose logits are worked out at a time.
+AHEAD, BLOCK = 16, 2048
 RATE, CLIP = 0.06, 5.0
 #: The start's sample: whole training texts of at most so many bytes, those of least hash, and the passes over it.
 WARM_TEXTS, WARM_BYTES, PASSES = 400, 1 << 14, 3
@@ -141,109 +143,143 @@ def start(vocabulary: Vocabulary) -> Params:
 
 
 def inputs_table(p: Params) -> np.ndarray:
-    """What each input adds to the gates."""
-    return p["embed"] @ p["wx"] + p["b"]
+    """What each input adds to the gates, a column each; halved for the two that are logistic, as ``advance`` takes them."""
+    table = np.ascontiguousarray((p["embed"] @ p["wx"] + p["b"]).T)
+    table[: 2 * len(p["wh"])] *= np.float32(0.5)
+    return table
+
+
+# Within the network, lanes and texts are columns: gates, units and classes are rows that follow each other in memory.
 
 
 def advance(p: Params, table: np.ndarray, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, tape: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """States after each of the inputs ``ids`` (steps, lanes), and the last; a lane is reset where ``fresh``."""
-    k = h.shape[1]
-    states, wh, half = np.empty((*ids.shape, k), np.float32), p["wh"], np.float32(0.5)
+    k, half = h.shape[1], np.float32(0.5)
+    states, wh, h = np.empty((k, *ids.shape), np.float32), np.ascontiguousarray(p["wh"].T), np.ascontiguousarray(h.T)
+    wh[: 2 * k] *= half
     resets = fresh.any(axis=1)
-    x = table[ids]
     for t in range(len(ids)):
         if resets[t]:
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-        a = h @ wh
-        g = np.tanh((x[t, :, : 2 * k] + a[:, : 2 * k]) * half)
+            h = np.where(fresh[t], np.float32(0), h)
+        x, a = table.take(ids[t], axis=1, mode="clip"), wh @ h
+        g = x[: 2 * k]
+        g += a[: 2 * k]
+        np.tanh(g, out=g)
         g *= half
         g += half
-        z, r = g[:, :k], g[:, k:]
-        n = np.tanh(x[t, :, 2 * k :] + r * a[:, 2 * k :])
+        z, r = g[:k], g[k:]
+        n = r * a[2 * k :]
+        n += x[2 * k :]
+        np.tanh(n, out=n)
         if tape is not None:
-            tape.append((h, a[:, 2 * k :], z, r, n))
-        states[t] = h = h + z * (n - h)
-    return states, h
+            tape.append((h, a[2 * k :], z, r, n))
+        now = n - h
+        now *= z
+        now += h
+        states[:, t] = h = now
+    return states.transpose(1, 2, 0), h.T
 
 
 def log_probabilities(p: Params, v: Vocabulary, states: np.ndarray, targets: np.ndarray, grads: Params | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """ln P(target | state) of each row, but for the share within a class of endings; with ``grads``, d loss / d states."""
-    logits = states @ p["wc"] + p["bc"]
-    e = np.exp(np.minimum(logits, 60, out=logits))
-    total = e.sum(axis=1, keepdims=True)
-    own = v.class_of[targets]
-    rows = np.arange(len(targets))
-    out = logits[rows, own] - np.log(total[:, 0])
-    back = None
-    if grads is not None:
-        e /= total
-        e[rows, own] -= 1
-        grads["wc"] += states.T @ e
-        grads["bc"] += e.sum(axis=0)
-        back = e @ p["wc"].T
-    order = np.argsort(own, kind="stable")
-    sorted_states, sorted_targets = states[order], targets[order]
-    ends = np.searchsorted(own[order], np.arange(v.n_classes))
-    inner_logs, inner_back = np.zeros(len(targets), out.dtype), np.zeros_like(states) if grads is not None else None
-    for c in range(v.n_inner):  # the others have no network within
+    columns, own = np.ascontiguousarray(states.T), v.class_of[targets]
+    kind = np.result_type(columns, p["wc"])
+    out = np.empty(len(targets), kind)
+    back = np.empty(columns.shape, kind) if grads is not None else None
+    wc, bc = np.ascontiguousarray(p["wc"].T), p["bc"][:, None]
+    room = np.empty(v.n_classes * min(BLOCK, len(targets)), kind)
+    for lo in range(0, len(targets), BLOCK):  # a block's logits stay in the cache, and their memory is used again
+        at = slice(lo, lo + BLOCK)
+        s, c = columns[:, at], own[at]
+        e = np.matmul(wc, s, out=room[: v.n_classes * len(c)].reshape(v.n_classes, len(c)))
+        e += bc
+        np.minimum(e, 60, out=e)
+        places = c * len(c) + np.arange(len(c))
+        mine = e.ravel()[places]
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        out[at] = mine - np.log(total)
+        if grads is not None:
+            e /= total
+            e.ravel()[places] -= 1
+            grads["wc"] += s @ e.T
+            grads["bc"] += e.sum(axis=1)
+            back[:, at] = p["wc"] @ e
+    order = np.flatnonzero(own < v.n_inner)  # the others have no network within
+    order = order[np.argsort(own[order].astype(np.int16), kind="stable")]
+    ends = np.searchsorted(own[order], np.arange(v.n_inner + 1))
+    sorted_columns, sorted_targets = columns.take(order, axis=1), targets[order]
+    inner_logs, inner_back = np.empty(len(order), kind), np.empty(sorted_columns.shape, kind) if grads is not None else None
+    for c in range(v.n_inner):
         at = slice(ends[c], ends[c + 1])
         if at.start == at.stop:
             continue
         lo, hi = v.first[c], v.first[c + 1]
-        s = sorted_states[at]
-        inner = s @ p["wo"][lo:hi].T + p["bo"][lo:hi]
-        w = np.exp(np.minimum(inner, 60, out=inner))
-        sums = w.sum(axis=1, keepdims=True)
-        k, t = np.arange(len(s)), sorted_targets[at] - lo
-        inner_logs[at] = inner[k, t] - np.log(sums[:, 0])
+        s, wo = sorted_columns[:, at], p["wo"][lo:hi]
+        w = wo @ s
+        w += p["bo"][lo:hi, None]
+        np.minimum(w, 60, out=w)
+        t, k = sorted_targets[at] - lo, np.arange(s.shape[1])
+        mine = w[t, k]
+        np.exp(w, out=w)
+        sums = w.sum(axis=0)
+        inner_logs[at] = mine - np.log(sums)
         if grads is not None:
             w /= sums
-            w[k, t] -= 1
-            grads["wo"][lo:hi] += w.T @ s
-            grads["bo"][lo:hi] += w.sum(axis=0)
-            inner_back[at] = w @ p["wo"][lo:hi]
+            w[t, k] -= 1
+            grads["wo"][lo:hi] += w @ s.T
+            grads["bo"][lo:hi] += w.sum(axis=1)
+            inner_back[:, at] = wo.T @ w
     out[order] += inner_logs
-    if grads is not None:
-        back[order] += inner_back
-    return out, back
+    if grads is None:
+        return out, None
+    back[:, order] += inner_back
+    return out, back.T
 
 
 def backward(p: Params, grads: Params, ids: np.ndarray, fresh: np.ndarray, tape: list, back: np.ndarray) -> None:
     """Backpropagation through the window; nothing flows into the state that it started from."""
-    k = back.shape[2]
-    dx, before = np.empty((*ids.shape, 3 * k), np.float32), np.stack([x[0] for x in tape])
-    da = np.empty_like(dx)
-    dh = np.zeros_like(back[0])
+    k, lanes, embed = back.shape[2], ids.shape[1], np.ascontiguousarray(p["embed"].T)
+    dh = np.zeros((k, lanes), back.dtype)
+    own, gates = np.empty((2, 3 * k, lanes), np.float32)  # by input and by state
+    inputs = np.empty((k, *ids.shape), np.float32)
     for t in range(len(ids) - 1, -1, -1):
         h, an, z, r, n = tape[t]
-        dh = dh + back[t]
-        dn, own, gates = dh * z * (1 - n * n), dx[t], da[t]
-        own[:, :k] = dh * (n - h) * z * (1 - z)
-        own[:, k : 2 * k] = dn * an * r * (1 - r)
-        own[:, 2 * k :] = dn
-        gates[:, : 2 * k] = own[:, : 2 * k]
-        gates[:, 2 * k :] = dn * r
-        dh = dh * (1 - z) + gates @ p["wh"].T
+        dh = dh + back[t].T
+        rest = 1 - z
+        dn = dh * z
+        np.multiply(dn, (n - h) * rest, out=own[:k], casting="same_kind")
+        dn *= 1 - n * n
+        np.multiply(dn, r, out=gates[2 * k :], casting="same_kind")
+        np.multiply(gates[2 * k :], an * (1 - r), out=own[k : 2 * k], casting="same_kind")
+        own[2 * k :] = dn
+        gates[: 2 * k] = own[: 2 * k]
+        dh *= rest
+        dh += p["wh"] @ gates
         if fresh[t].any():
-            dh = np.where(fresh[t][:, None], np.float32(0), dh)
-    grads["wh"] += before.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-    flat, x = dx.reshape(-1, 3 * k), ids.ravel()
-    order = np.argsort(x, kind="stable")
-    own, at = np.unique(x[order], return_index=True)
-    sums = np.add.reduceat(flat[order], at)  # by input
-    grads["wx"] += p["embed"][own].T @ sums
-    grads["b"] += sums.sum(axis=0)
-    grads["embed"][own] += sums @ p["wx"].T
+            dh = np.where(fresh[t], np.float32(0), dh)
+        grads["wh"] += h @ gates.T
+        grads["wx"] += embed.take(ids[t], axis=1, mode="clip") @ own.T
+        grads["b"] += own.sum(axis=1)
+        inputs[:, t] = p["wx"] @ own
+    for unit, x in enumerate(inputs.reshape(k, -1)):
+        grads["embed"][:, unit] += np.bincount(ids.ravel(), x, minlength=len(p["embed"]))
 
 
 class Lanes:
-    """Texts side by side: each lane reads text after text, and windows of all lanes come out together."""
+    """Texts side by side: each lane reads text after text, and windows of all lanes come out together.
+
+    Lanes are laid out AHEAD windows at a time, so that a text is touched a few times and not once a window.
+    """
 
     def __init__(self, opening: int, lanes: int = LANES, window: int = WINDOW):
-        self.opening, self.lanes, self.window = opening, lanes, window
+        self.opening, self.lanes, self.window, self.width = opening, lanes, window, window * AHEAD
         self.queues: list[deque[tuple[np.ndarray, int]]] = [deque() for _ in range(lanes)]
         self.left = np.zeros(lanes, np.int64)
         self.done = [0] * lanes
+        self.inputs, self.targets, self.tags = np.empty((3, lanes, self.width), np.int32)
+        self.fresh = np.empty((lanes, self.width), dtype=bool)
+        self.at, self.laid = self.width, np.zeros(lanes, np.int64)  # where the next window starts, and what is laid out
 
     def put(self, ids: np.ndarray, tag: int) -> None:
         """Add a text to the lane with least to read."""
@@ -251,33 +287,44 @@ class Lanes:
         self.queues[k].append((ids, tag))
         self.left[k] += len(ids)
 
+    def lay(self, k: int) -> None:
+        """Lay out what lane ``k`` reads next, as far as there is room."""
+        at, queue = max(self.at, int(self.laid[k])), self.queues[k]
+        while at < self.width and queue:
+            ids, tag = queue[0]
+            done = self.done[k]
+            n = min(self.width - at, len(ids) - done)
+            self.targets[k, at : at + n] = ids[done : done + n]
+            self.tags[k, at : at + n] = tag
+            if done:
+                self.inputs[k, at : at + n] = ids[done - 1 : done + n - 1]
+            else:
+                self.fresh[k, at] = True
+                self.inputs[k, at + 1 : at + n] = ids[: n - 1]
+            at, self.done[k] = at + n, done + n
+            if self.done[k] == len(ids):
+                queue.popleft()
+                self.done[k] = 0
+        self.laid[k] = at
+
     def windows(self, drain: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(inputs, targets, fresh, tags), (steps, lanes) each; targets of idle lanes are -1. Unless ``drain``, only
         windows that all lanes fill."""
         while self.left.max() > 0 and (drain or self.left.min() >= self.window):
-            steps = self.window
-            inputs = np.full((steps, self.lanes), self.opening, np.int64)
-            targets, tags = np.full((steps, self.lanes), -1, np.int64), np.full((steps, self.lanes), -1, np.int64)
-            fresh = np.zeros((steps, self.lanes), dtype=bool)
-            for k in np.flatnonzero(self.left):
-                at = 0
-                while at < steps and self.queues[k]:
-                    ids, tag = self.queues[k][0]
-                    done = self.done[k]
-                    n = min(steps - at, len(ids) - done)
-                    targets[at : at + n, k] = ids[done : done + n]
-                    tags[at : at + n, k] = tag
-                    if done:
-                        inputs[at : at + n, k] = ids[done - 1 : done + n - 1]
-                    else:
-                        fresh[at, k] = True
-                        inputs[at + 1 : at + n, k] = ids[: n - 1]
-                    at, self.done[k] = at + n, done + n
-                    if self.done[k] == len(ids):
-                        self.queues[k].popleft()
-                        self.done[k] = 0
-                self.left[k] -= at
-            yield inputs, targets, fresh, tags
+            if self.at == self.width:
+                self.inputs.fill(self.opening)
+                self.targets.fill(-1)
+                self.tags.fill(-1)
+                self.fresh.fill(False)
+                self.at, self.laid = 0, np.zeros(self.lanes, np.int64)
+            end = self.at + self.window
+            for k in np.flatnonzero((self.laid < end) & (self.left > np.maximum(self.laid - self.at, 0))).tolist():
+                self.lay(k)
+            shown = slice(self.at, end)
+            inputs, targets, tags = (x[:, shown].T.astype(np.int64, order="C") for x in (self.inputs, self.targets, self.tags))
+            self.at = end
+            self.left -= np.minimum(self.left, self.window)
+            yield inputs, targets, np.ascontiguousarray(self.fresh[:, shown].T), tags
 
 
 class Trainer:
@@ -302,7 +349,8 @@ class Trainer:
     def run(self, drain: bool) -> None:
         for inputs, targets, fresh, _ in self.lanes.windows(drain):
             busy = np.flatnonzero((targets >= 0).any(axis=0))
-            inputs, targets, fresh = (x[:, busy] for x in (inputs, targets, fresh))
+            if len(busy) < targets.shape[1]:
+                inputs, targets, fresh = (x[:, busy] for x in (inputs, targets, fresh))
             tape: list[tuple] = []
             states, self.h[busy] = advance(self.p, self.table, inputs, fresh, self.h[busy], tape)
             self.waiting.append((inputs, targets, fresh, states, tape))
@@ -316,15 +364,19 @@ class Trainer:
     def _step(self) -> None:
         held = self.waiting
         inputs, targets, fresh, states = (np.concatenate([w[k] for w in held], axis=1) for k in range(4)) if len(held) > 1 else held[0][:4]
-        tape = [tuple(map(np.concatenate, zip(*parts, strict=True))) for parts in zip(*[w[4] for w in held], strict=True)] if len(held) > 1 else held[0][4]
-        there = targets >= 0
+        tape = [tuple(np.concatenate(x, axis=1) for x in zip(*parts, strict=True)) for parts in zip(*[w[4] for w in held], strict=True)] if len(held) > 1 else held[0][4]
         grads = {k: np.zeros_like(a) for k, a in self.p.items()}
-        out, back = log_probabilities(self.p, self.v, states[there], targets[there], grads)
+        there = np.flatnonzero(targets.ravel() >= 0)
+        rows = states.reshape(-1, SIZE)
+        if len(there) == len(rows):
+            out, back = log_probabilities(self.p, self.v, rows, targets.ravel(), grads)
+        else:
+            out, own = log_probabilities(self.p, self.v, rows.T.take(there, axis=1).T, targets.ravel()[there], grads)
+            back = np.zeros((SIZE, len(rows)), np.float32).T
+            back[there] = own
         self.loss -= float(out.sum())
         self.losses += len(out)
-        whole = np.zeros_like(states)
-        whole[there] = back
-        backward(self.p, grads, inputs, fresh, tape, whole)
+        backward(self.p, grads, inputs, fresh, tape, back.reshape(states.shape))
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / WINDOW * self.full / self.places
         scale = np.float32(min(1.0, CLIP / max(norm, 1e-9)) / WINDOW)  # so clipped, a step of fewer tokens weighs less
         for k, g in grads.items():
@@ -344,11 +396,15 @@ def score_texts(p: Params, v: Vocabulary, data: list[np.ndarray]) -> np.ndarray:
     h = np.zeros((lanes.lanes, SIZE), np.float32)
     for inputs, targets, fresh, tags in lanes.windows(True):
         busy = np.flatnonzero((targets >= 0).any(axis=0))
-        inputs, targets, fresh, tags = (x[:, busy] for x in (inputs, targets, fresh, tags))
+        if len(busy) < targets.shape[1]:
+            inputs, targets, fresh, tags = (x[:, busy] for x in (inputs, targets, fresh, tags))
         states, h[busy] = advance(p, table, inputs, fresh, h[busy])
-        there = targets >= 0
-        out, _ = log_probabilities(p, v, states[there], targets[there])
-        total += np.bincount(tags[there], out, minlength=len(data))
+        there = np.flatnonzero(targets.ravel() >= 0)
+        rows = states.reshape(-1, SIZE)
+        if len(there) < len(rows):
+            rows = rows.T.take(there, axis=1).T
+        out, _ = log_probabilities(p, v, rows, targets.ravel()[there])
+        total += np.bincount(tags.ravel()[there], out, minlength=len(data))
     return total / np.log(10)
 
 

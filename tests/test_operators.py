@@ -1,8 +1,13 @@
+import re
+from collections import Counter
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tracery.functions import text as tx
 from tracery.operators import catalog, export, ledger, links, review, spatial
+from tracery.plans import graph
 from tracery.sources import imports
 
 
@@ -165,3 +170,36 @@ def test_export_read_back_seal_and_archive(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "yes")).count() == 3
     with pytest.raises(ValueError):
         export.mapped(rows, [("A", "a"), ("A", "b")])
+
+
+@pytest.fixture
+def edge_tables(spark, tmp_path):
+    """4200 orders of one customer and 800 of ten others; orders, lines and customers with null keys, repeated dangling keys and none."""
+    orders = [(k, 0) for k in range(4200)] + [(4200 + k, 1 + k % 10) for k in range(800)] + [(9001, 77)] * 3 + [(None, 5), (None, None)] + [(9002, None)]
+    lines = [(k,) for k in range(5000) for _ in range(4)] + [(9100,)] * 3 + [(9101,)] + [(None,)] * 4
+    customers = [(k,) for k in range(11)] + [(50,)] * 2 + [(51,)] + [(None,)] * 5000
+    for name, rows, schema in (("orders", orders, "o_orderkey long, o_custkey long"), ("lineitem", lines, "l_orderkey long"), ("customer", customers, "c_custkey long")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_dangling_edges_on_nulls_and_repeated_keys(spark, edge_tables):
+    con = duckdb.connect()
+    for name in ("orders", "lineitem", "customer"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{edge_tables}/{name}.parquet/*.parquet'")
+    want = Counter(con.execute(graph.ORACLE["dangling_edges"]).fetchall())
+    assert Counter(tuple(r) for r in graph.dangling_edges(spark, edge_tables).collect()) == want
+    assert want["customer_without_order", None] == 5000 and want["order_without_line", 9001] == 3 and want["line_without_order", None] == 1
+
+
+def test_dangling_edges_move_keys_not_rows(spark, edge_tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.dangling_edges(spark, edge_tables)
+        found.collect()
+        plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted").partition("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = sorted(float(x) for x in re.findall(r"ShuffleQueryStage.*?rowCount=([\d.E+]+)", plan))
+    assert moved and moved[0] < 100, moved  # customers: some keys, not 5005 orders
+    assert "Sort" not in plan

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Sampled keys in each range of new keys.
 SAMPLED = 16
+#: Entries of one array where a row is repeated.
+REPEATED = 4096
 
 
 def status_of(n: Column) -> Column:
@@ -31,6 +33,24 @@ def dangling(edges: DataFrame, nodes: DataFrame, edge_key: str, node_key: str) -
     return edges.join(nodes, edges[edge_key] == nodes[node_key], "left_anti")
 
 
+def one_sided(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """(key, n_left, n_right) of the keys that only one side has, from one aggregation of both sides.
+
+    Rows are counted before they move and nothing is sorted, so a task holds its keys, not its rows. A null matches none:
+    its row has the counts of both sides.
+    """
+    side = lambda df, key, n_left, n_right: df.select(F.col(key).alias("key"), F.lit(n_left).alias("n_left"), F.lit(n_right).alias("n_right"))
+    ends = side(left, left_key, 1, 0).unionByName(side(right, right_key, 0, 1)).groupBy("key").agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+    return ends.where(F.col("key").isNull() | (F.col("n_left") == 0) | (F.col("n_right") == 0))
+
+
+def repeated(rows: DataFrame, n: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, without that column; no array holds all copies of a row."""
+    parts = rows.where(F.col(n) > 0).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / REPEATED))))
+    copies = F.least(F.lit(REPEATED).cast("long"), F.col(n) - F.col("__part") * REPEATED).cast("int")
+    return parts.withColumn("__copy", F.explode(F.array_repeat(F.lit(0).cast("byte"), copies))).drop(n, "__part", "__copy")
+
+
 def merged_edges(edges: DataFrame, key: list[str], methods: str) -> DataFrame:
     """One row for each edge, with all the methods that found it in order."""
     return edges.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(methods)))).alias(methods))

@@ -20,15 +20,14 @@ def unique_label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders without lines and customers without orders, row by row, and the keys of lines without an order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey")
-    named = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).alias("key"))
-    return (
-        named(links.dangling(orders, lines, "o_orderkey", "l_orderkey"), "order_without_line", "o_orderkey")
-        .unionByName(named(links.dangling(lines, orders, "l_orderkey", "o_orderkey"), "line_without_order", "l_orderkey"))
-        .unionByName(named(links.dangling(customer, orders, "c_custkey", "o_custkey"), "customer_without_order", "c_custkey"))
-    )
+    placed = links.one_sided(orders, lines, "o_orderkey", "l_orderkey")
+    kinds = F.explode(F.array(F.struct(F.lit("order_without_line").alias("kind"), F.col("n_left").alias("n")), F.struct(F.lit("line_without_order").alias("kind"), F.least("n_right", F.lit(1)).alias("n"))))
+    idle = links.one_sided(customer, orders, "c_custkey", "o_custkey").select(F.lit("customer_without_order").alias("kind"), "key", F.col("n_left").alias("n"))
+    return links.repeated(placed.select("key", kinds.alias("end")).select("end.kind", "key", "end.n").unionByName(idle), "n")
 
 
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
